@@ -81,6 +81,21 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(sorted_keys)))
 
 
+def order_of(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by the first key, then the next; integers from 0 that fit into 64 bits with their index are sorted as one."""
+    n = len(keys[0])
+    widths = [int(k.max()).bit_length() if n else 0 for k in keys]
+    index = max(1, n - 1).bit_length()
+    if sum(widths) + index > 64:
+        return np.lexsort(keys[::-1])
+    packed = np.zeros(n, np.uint64)
+    for k, w in zip(keys, widths):
+        packed = packed << np.uint64(w) | k.astype(np.uint64)
+    packed = packed << np.uint64(index) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << index) - 1)).astype(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
