@@ -25,6 +25,14 @@ q as (select fonte, line from y join n using (fonte) where length(line) >= 15 gr
 select distinct chunk_id, linha_no from y join q using (fonte, line)
 """
 
+P9 = r"""
+with d as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from itens_teste where text is not null),
+x as (select distinct item_id, unnest([array_to_string(w[k : k + 11], ' ') for k in generate_series(1, len(w) - 11)]) as s from i where len(w) >= 12),
+y as (select distinct doc_id, unnest([array_to_string(w[k : k + 11], ' ') for k in generate_series(1, len(w) - 11)]) as s from d where len(w) >= 12)
+select distinct doc_id, item_id from y join x using (s)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": P1,
     "p5_found": P5,
@@ -37,5 +45,6 @@ d as (select *, t > 0 and (n_tokens is null or n_tokens <= 0 or abs(n_tokens - t
 select fonte, idioma, case when k not in ('', '?') then k end as categoria, count(*) as chunks,
   cast(sum(case when bad then t when t = 0 then 0 else n_tokens end) as bigint) as tokens, count(*) filter (bad) as repaired
 from d left join m on doc_id = id group by all""",
+    "p9_found": P9,
     "p8_found": f"select distinct doc_id from documents where {TOKENS.format('text')} > 2048",
 }

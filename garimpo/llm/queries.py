@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garimpo.llm import near_duplicates, packing, repeated_lines, splitting, token_budget, vector_neighbours
+from garimpo.llm import abuse, encoding_repair, leakage, near_duplicates, packing, pair_defects, repeated_lines, splitting, token_budget, vector_neighbours
 from garimpo.plans.tables import small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,28 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return vector_neighbours.neighbour_pairs(vector_neighbours.nearest(table(spark, folder, "chunks"), "chunk_id", "embedding")).toDF("chunk_id_a", "chunk_id_b")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pair_defects.defects(table(spark, folder, "avaliacao"), "n", "pergunta", "resposta").toDF("n", "defeito")
+
+
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """(field, source, key, text) of chunks and catalogue titles."""
+    sources = catalogue(spark, folder)
+    chunks = table(spark, folder, "chunks").select("chunk_id", "doc_id", "text").join(small(sources), "doc_id", "left")
+    titles = table(spark, folder, "manifest")
+    row = lambda df, field, source, key, text: df.select(F.lit(field).alias("field"), F.col(source).alias("source"), F.col(key).alias("key"), F.col(text).alias("text"))
+    return row(chunks, "chunks", "m_fonte", "chunk_id", "text").unionByName(row(titles, "manifest", "fonte", "id", "titulo"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_repair.affected(records(spark, folder)).select(F.col("field").alias("tabela"), F.col("key").alias("chave"))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    found = encoding_repair.affected(records(spark, folder), repair=True)
+    return found.select(F.col("field").alias("tabela"), F.col("key").alias("chave"), F.col("chain").alias("cadeia"), "posterior", F.col("text").alias("texto"))
+
+
 def with_source(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").select("chunk_id", "doc_id", "text").join(small(catalogue(spark, folder)), "doc_id").select("chunk_id", "text", "m_fonte")
 
@@ -97,9 +119,37 @@ def p8_filling(spark: SparkSession, folder: str) -> DataFrame:
     return packing.filling(p8_packing(spark, folder))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "itens_teste"), "item_id", "text")
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = leakage.leaked_documents(p9_leaks(spark, folder), "doc_id", "item_id")
+    return found.select("doc_id", F.array_join("items", ",").alias("items"), "runs")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = abuse.train_model(documents, "doc_id", "text", table(spark, folder, "rotulos"), "doc_id", "abusivo", table(spark, folder, "lexico"))
+    return abuse.scores(documents, "doc_id", "text", model, keep=("source",))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where("abusive").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, folder), "source")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_groups, p2_found, p5_found, p5_templates, p5_cleaned, p6_found, p6_pieces, p7_found, p7_totals, p7_bpe_totals, p8_packing, p8_found, p8_filling,
+        p1_found, p1_groups, p2_found, p3_found, p4_found, p4_repaired, p5_found, p5_templates, p5_cleaned, p6_found, p6_pieces, p7_found, p7_totals, p7_bpe_totals, p8_packing, p8_found, p8_filling,
+        p9_found, p9_leaks, p9_documents, p10_found, p10_scores, p10_rates,
     )
 }
