@@ -61,9 +61,14 @@ def embed(text: Column, role: str, load: Callable[[], Embedder] = HashingEmbedde
             _LOADED[name] = load()
         model = _LOADED[name]
         for part in parts:
-            known = part.dropna()
-            vectors = [v for s in range(0, len(known), batch_size) for v in model.encode(list(known.iloc[s : s + batch_size]))]
-            yield pd.Series(vectors, index=known.index, dtype=object).reindex(part.index)
+            texts = part.tolist()
+            known = [i for i, t in enumerate(texts) if isinstance(t, str)]
+            vectors: list = [None] * len(texts)
+            for s in range(0, len(known), batch_size):
+                at = known[s : s + batch_size]
+                for i, v in zip(at, model.encode([texts[i] for i in at])):
+                    vectors[i] = v
+            yield pd.Series(vectors, dtype=object)
 
     return of(F.concat(F.lit(f"{role}: "), text))
 

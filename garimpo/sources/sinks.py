@@ -15,12 +15,12 @@ def write_json_array(df: DataFrame, path: str, key: str) -> None:
     """The rows as one JSON array in one file, ordered by ``key``; for catalogues and reports, not for corpora."""
     rows = df.select(F.struct(*df.columns).alias("r"), F.col(key).alias("k"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("r", {"ignoreNullFields": "false", "pretty": "true"}).alias("j")))), lambda x: x["j"]), ",\n")
-    rows.agg(F.concat(F.lit("[\n"), lines, F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    rows.agg(F.concat(F.lit("[\n"), lines, F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
     """One folder a document with its text."""
-    docs.where("text is not null").select(F.col("text").alias("value"), "doc_id").repartition("doc_id").write.mode("overwrite").option("lineSep", "").partitionBy("doc_id").text(path)
+    docs.where("text is not null").select(F.col("text").alias("value"), "doc_id").repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def write_index(chunks: DataFrame, path: str, reset: bool = True) -> None:
