@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from garimpo.llm.common import batch
 from garimpo.llm.linear import Trees, best_threshold, fit_logistic, isotonic
+from garimpo.llm.splitting import LETTER, char_classes, code_points
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 TOKEN = re.compile(r"[^\W_]+")
@@ -42,7 +43,7 @@ PEOPLE = frozenset("povo gente moradores vizinho vizinhos sindico pessoas people
 NEGATION = frozenset("proibe proibido proibida proibidas proibidos regra regras norma politica moderacao palavra palavras termo termos chamar expressao denuncia linguagem ofensas rule rules policy word words prohibido palabra reglamento regulamento".split())
 
 MIXED = re.compile(r"(?<![\w])(?=[\w@$!€]*[^\W\d_])(?=[\w@$!€]*[013457@$])[\w@$!€]{3,}(?![\w])")
-DOTTED = re.compile(r"(?<!\w)(?:[^\W_][.\-_*·]){3,}[^\W_](?!\w)")
+DOTTED = re.compile(r"(?<!\w)(?:[^\W\d_][.\-_*·]){3,}[^\W\d_](?!\w)")
 ACCENTS = re.compile("[\u0300-\u036f]+")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}", re.I)
@@ -63,6 +64,37 @@ def plain(text: str) -> str:
 NOTHING = (0, 0, 0, 0, 0, 0)
 
 
+def members(chars: str) -> np.ndarray:
+    """Table over all code points."""
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+STAND_INS, SEPARATORS = members("013457@$!€"), members(".-_*·")
+
+
+def may_be_disguised(text: str) -> bool:
+    """Whether any sentence could need ``Reader.restored``: one look at the characters of the whole text."""
+    if "*" in text or "#" in text:
+        return True
+    c = code_points(text.lower())
+    if len(c) < 7:
+        return True
+    letter = char_classes()[c] == LETTER
+    other = STAND_INS[c]
+    if (letter[1:] & other[:-1]).any() or (letter[:-1] & other[1:]).any():
+        return True
+    if (letter[2:] & (c[2:] == c[1:-1]) & (c[2:] == c[:-2])).any():
+        return True
+    near = np.concatenate(([False], letter, [False]))
+    letter = letter & ~near[:-2] & ~near[2:]  # letters between other characters
+    for gap in (c == 32, SEPARATORS[c]):
+        if (letter[:-6] & gap[1:-5] & letter[2:-4] & gap[3:-3] & letter[4:-2] & gap[5:-1] & letter[6:]).any():
+            return True
+    return False
+
+
 class Reader:
     """Turns a text into sentences of plain tokens with their surface features."""
 
@@ -80,7 +112,7 @@ class Reader:
     def sentences(self, text: str) -> list[tuple[list[str], tuple, str]]:
         """(plain tokens, counts of disguises, sentence); only texts with a sign of disguise are searched for it by sentence."""
         out = []
-        odd_text = "*" in text or "#" in text or any(p.search(text) for p in (DOTTED, SPACED, STRETCHED, MIXED))
+        odd_text = may_be_disguised(text)
         for s in SENTENCE.split(text):
             if len(s) < 4:
                 continue
