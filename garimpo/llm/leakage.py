@@ -34,15 +34,25 @@ K1, B = 1.2, 0.75
 FOUND_SQL = "doc string, item string, run int"
 FOUND = pa.schema([("doc", pa.string()), ("item", pa.string()), ("run", pa.int32())])
 
-MARKS = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M") + "]+")
+#: Combining marks of the Latin, Greek and Cyrillic scripts, and where others may stand.
+COMMON_MARKS = re.compile("[\u0300-\u036f]+")
+OTHER_MARKS = re.compile("[\u0483-\u1fff\u20d0-\u20ff\u2c00-\uffff\U00010000-\U0010ffff]")
 
 
 def plain_words(text: str) -> list[str]:
     """Words after NFD and without combining marks, in lower case."""
     if not text.isascii():
-        text = MARKS.sub("", unicodedata.normalize("NFD", text))
-        return WORD.findall(MARKS.sub("", unicodedata.normalize("NFD", lower(text))))
-    return WORD.findall(text.lower())
+        text = COMMON_MARKS.sub("", unicodedata.normalize("NFD", text))
+        if OTHER_MARKS.search(text):
+            text = "".join(c for c in text if unicodedata.category(c)[0] != "M")
+    return WORD.findall(lower(text))
+
+
+class Terms(dict):
+    """Numbers of the items' words; -1 for any other word."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
 
 
 class Index:
@@ -52,7 +62,7 @@ class Index:
         words = [(key, plain_words(text or "")) for key, text in items]
         words = sorted((w for w in words if len(w[1]) >= run), key=lambda w: (len(w[1]), w[0]))
         self.run, self.keys = run, [key for key, _ in words]
-        self.terms: dict[str, int] = {}
+        self.terms = Terms()
         for _, w in words:
             for t in w:
                 self.terms.setdefault(t, len(self.terms))
@@ -105,7 +115,7 @@ def passages(at: np.ndarray, run: int, width: int) -> list[tuple[int, int]]:
 def search(index, width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
-        number, run = ix.terms.get, ix.run
+        number, run = ix.terms.__getitem__, ix.run
         for rows in batches:
             for begin in range(0, rows.num_rows, 2000):
                 docs = rows.column(0).slice(begin, 2000).to_pylist()
@@ -117,26 +127,47 @@ def search(index, width: int):
                     words = plain_words(text)
                     if len(words) < run:
                         continue
-                    at = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
+                    at = np.fromiter(map(number, words), np.int64, len(words))
                     for s, e in passages(at, run, width):
                         owner.append(i)
                         queries.append(at[s:e])
                 if not queries:
                     continue
                 found = candidates(ix, queries)
-                hits: dict[tuple[int, int], int] = {}
-                for q, item in found:
-                    h = np.unique(shingles(ix.base[queries[q]], run))
-                    low, high = np.searchsorted(ix.hashes, h, "left"), np.searchsorted(ix.hashes, h, "right")
-                    same = sum(bool((ix.owner[a:b] == item).any()) for a, b in zip(low, high) if a < b)
-                    if same:
-                        hits[owner[q], item] = hits.get((owner[q], item), 0) + same
+                hits = verified(ix, queries, found, owner)
                 if hits:
                     yield batch(FOUND, [docs[d] for d, _ in hits], [ix.keys[i] for _, i in hits], list(hits.values()))
 
     return of
 
 
+def verified(ix: Index, queries: list[np.ndarray], found: list[tuple[int, int]], owner: list[int]) -> dict[tuple[int, int], int]:
+    """(document, item) -> shared runs, of the candidates that share at least one."""
+    hits: dict[tuple[int, int], int] = {}
+    if not found:
+        return hits
+    wanted = set(found)
+    which = sorted({q for q, _ in found})
+    size = np.array([len(queries[q]) for q in which])
+    h = shingles(ix.base[np.concatenate([queries[q] for q in which])], ix.run)
+    end = np.cumsum(size)
+    query = np.repeat(np.arange(len(which)), size)[: len(h)]
+    inside = np.arange(len(h)) + ix.run <= end[query]
+    low = np.searchsorted(ix.hashes, h)
+    same = np.flatnonzero(inside & (low < len(ix.hashes)) & (ix.hashes[np.minimum(low, len(ix.hashes) - 1)] == h))
+    seen = set()
+    for i in same.tolist():
+        q, at = which[query[i]], int(low[i])
+        while at < len(ix.hashes) and ix.hashes[at] == h[i]:
+            item = int(ix.owner[at])
+            key = (owner[q], item, int(h[i]))
+            if (q, item) in wanted and key not in seen:
+                seen.add(key)
+                hits[owner[q], item] = hits.get((owner[q], item), 0) + 1
+            at += 1
+    return hits
+
+
 def candidates(ix: Index, queries: list[np.ndarray]) -> list[tuple[int, int]]:
     """(query, item) whose score reaches the item's threshold; blocks below theirs stay closed."""
     out = []
@@ -166,7 +197,7 @@ def leaks(
 ) -> DataFrame:
     """``(key, item_key, runs)``: pairs that share at least one run of ``run`` consecutive words.
 
-    ``runs`` is the number of distinct shared runs, summed over the document's passages.
+    ``runs`` is the number of distinct shared runs.
     Texts of fewer words, null texts and null keys have no pair.  Repeated rows of a
     document or an item don't repeat a pair.
     """
@@ -181,9 +212,8 @@ def leaks(
         index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own.toLocalIterator()], run))
         found = rows.mapInArrow(search(index, width), FOUND_SQL)
         out = found if out is None else out.unionByName(found)
-    kinds = {f.name: f.dataType for f in (*corpus.schema, *items.schema)}
     pairs = out.groupBy("doc", "item").agg(F.max("run").alias("runs"))
-    return pairs.select(F.col("doc").cast(kinds[key]).alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key), "runs")
+    return pairs.select(F.col("doc").cast(corpus.schema[key].dataType).alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key), "runs")
 
 
 def leaked_documents(pairs: DataFrame, key: str, item_key: str) -> DataFrame:
