@@ -51,8 +51,10 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[i
                 add(used, (length, lengths[at]), left - length)
                 todo -= used
             else:
-                add(todo, (length, ()), capacity - length)
-                todo = 0
+                # no more new containers than this length needs if it fills them alone
+                new = -(-todo // (capacity // length))
+                add(new, (length, ()), capacity - length)
+                todo -= new
     out = []
     for count, chain in zip(counts, lengths):
         if count:
