@@ -8,7 +8,7 @@ masked letters), and how much of that was needed is a feature.
 The given lexicon is far from complete.  It is extended by a learned one: word and
 word-pair weights of a sparse logistic regression over the sentences of labelled
 documents, in which a positive document teaches by its most suspicious sentence
-(multiple-instance learning, a few rounds).  The learned lexicon is cross-fitted, so the
+(multiple-instance learning).  The learned lexicon is cross-fitted, so the
 trees see it as it behaves on unseen documents.  Isotonic regression calibrates the
 trees' score on out-of-fold predictions.
 
@@ -148,41 +148,50 @@ def weigh(weights: dict[str, float], tokens: list[str]) -> tuple[float, float]:
     return (weights[""] + sum(found), max(found)) if found else (weights[""], 0.0)
 
 
-def learn_lexicon(documents: list[list[tuple[list[str], tuple, str]]], labels: np.ndarray, reader: Reader, rounds: int = 3, seed: int = 0) -> dict[str, float]:
-    """Word and pair weights; a positive document teaches by its most suspicious sentence."""
+def learn_lexicon(documents: list[list[tuple[list[str], tuple, str]]], labels: np.ndarray, reader: Reader, seed: int = 0) -> dict[str, float]:
+    """Word and pair weights; a positive document teaches by its most suspicious sentence.
+
+    Which one that is, a model of the other half of the documents says, so that no
+    sentence is suspicious only because it was learned.  Positive documents in which
+    neither that model nor unusual words point at any sentence count as wrongly labelled.
+    """
     random = np.random.default_rng(seed)
     seen = Counter(w for d in documents for s in d for w in set(s[0]))
     total = max(1, sum(len(d) for d in documents))
     surely = {t for t, (_, w, a) in reader.terms.items() if not a}
 
-    def first_score(tokens, odd) -> float:
-        unusual = sum([log(total / (1 + seen[w])) for w in tokens if not w.isdigit()]) / (len(tokens) + 3)
-        return unusual + 4 * sum(t in surely for t in tokens) + 1.5 * sum(t in reader.terms for t in tokens) + sum(odd[:5])
+    def unusual(tokens, odd) -> float:
+        rare = sum([log(total / (1 + seen[w])) for w in tokens if not w.isdigit()]) / (len(tokens) + 3)
+        return rare + 4 * sum(t in surely for t in tokens) + 1.5 * sum(t in reader.terms for t in tokens) + sum(odd[:5])
 
-    weights: dict[str, float] = {}
-    for turn in range(rounds):
+    first = [np.array([unusual(t, o) for t, o, _ in d]) for d in documents]
+    calm = np.array([f.max() for f, y in zip(first, labels) if len(f) and not y] or [0.0])
+    high = float(np.quantile(calm, 0.9))
+
+    def fit(which, tops, kept) -> dict[str, float]:
         rows, y = [], []
-        for doc, label in zip(documents, labels):
-            if not doc:
+        for i in which:
+            doc = documents[i]
+            if not doc or not kept[i]:
                 continue
-            value = [first_score(t, o) if not turn else weigh(weights, t)[0] for t, o, _ in doc]
-            top = int(np.argmax(value))
-            if label:
-                if turn and value[top] < -2.5:
-                    continue  # nothing in it: a wrong label
-                rows.append(grams(doc[top][0]))
+            if labels[i]:
+                rows.append(grams(doc[tops[i]][0]))
                 y.append(1)
             else:
-                if turn and value[top] > 2.5:
-                    continue
-                pick = {top, *random.choice(len(doc), min(3, len(doc)), replace=False).tolist()}
-                for i in pick:
-                    rows.append(grams(doc[i][0]))
+                for j in {tops[i], *random.choice(len(doc), min(3, len(doc)), replace=False).tolist()}:
+                    rows.append(grams(doc[j][0]))
                     y.append(0)
-        if not any(y):
-            return {"": -5.0}
-        weights = fit_logistic(rows, np.array(y), epochs=5, l2=1e-4, least=2, seed=seed + turn, start=0.3)
-    return weights
+        return fit_logistic(rows, np.array(y), epochs=5, l2=1e-4, least=2, seed=seed, start=0.3) if any(y) else {"": -5.0}
+
+    tops, kept = [int(f.argmax()) if len(f) else 0 for f in first], [True] * len(documents)
+    half = random.permutation(len(documents)) % 2
+    both = [fit(np.flatnonzero(half == h), tops, kept) for h in (0, 1)]
+    for i, doc in enumerate(documents):
+        if doc:
+            value = np.array([weigh(both[1 - half[i]], t)[0] for t, _, _ in doc])
+            tops[i] = int((value + 0.2 * first[i]).argmax())
+            kept[i] = bool(value.max() > -1.5 or first[i].max() > high) if labels[i] else bool(value.max() < 2.5)
+    return fit(range(len(documents)), tops, kept)
 
 
 def document_features(doc: list[tuple[list[str], tuple, str]], weights: dict[str, float], reader: Reader) -> np.ndarray:
@@ -238,7 +247,7 @@ class Model:
         self.weights = learn_lexicon(documents, labels, self.reader)
         self.calibration = isotonic(held, labels)
         p = self.calibrated(held)
-        self.threshold = best_threshold(p, labels.astype(bool), 0.2, 0.8) if labels.any() and not labels.all() else 0.5
+        self.threshold = best_threshold(p, labels.astype(bool), 0.4, 0.8) if labels.any() and not labels.all() else 0.5
         self.held_out = (p, labels)
         return self
 
@@ -250,7 +259,7 @@ class Model:
         return np.where([bool(t) for t in texts], self.calibrated(self.trees.raw(x)), 0.0)
 
 
-def train_model(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, lexicon: DataFrame, sample_rows: int = 4000) -> Model:
+def train_model(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, lexicon: DataFrame, sample_rows: int = 6000) -> Model:
     """A model from at most about ``sample_rows`` labelled documents, chosen by a hash of the key.
 
     Null labels are left out; of several labels of a document the majority counts, a tie as positive.
