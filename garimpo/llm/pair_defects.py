@@ -32,6 +32,11 @@ CITATION = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
 QUOTED = re.compile(r"“[^”]*”|\"[^\"\n]*\"|«[^»]*»|‘[^’]*’")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n+")
 
+#: The adverbial phrase that ends a sentence.
+TAIL = re.compile(r"\s((?:durante|com|nas|nos|na|no|sem|em|até|após|por|ao|à|já|during|on|at|after|with|en|hasta|sin)\s[^,;.()]{4,35})\.?\s*$")
+#: Answers of one word.
+SHORT = ("Sim.", "Não.", "Sim", "Não", "Yes.", "No.", "Sí.", "Sim!", "Correto.", "Exato.", "Nunca.", "Sempre.", "Depende.", "Ambos.", "Nenhum.", "Todos.")
+
 #: A number with its unit, up to the end of the phrase.
 AMOUNT = re.compile(r"\d[\d.,]* (?:[^\W\d_]\S*(?: (?:de|por|da|do) \S+| \S+)?)(?=[.;,])")
 
@@ -56,8 +61,9 @@ SUBJECT = {
     "es": ["los fragmentos", "los documentos", "las fuentes", "el contexto", "el material", "ninguno de los textos", "el corpus", "ninguna fuente"],
     "en": ["the passages", "the documents", "the sources", "the context", "the material", "none of the passages", "the given text", "nothing in the context"],
 }
+SUBJECT["pt"] += [f"{noun} {kind}{ending}" for noun, ending in (("os trechos", "os"), ("as passagens", "as"), ("as páginas", "as"), ("os cadernos", "os"), ("os textos", "os"), ("os excertos", "os"), ("as fontes", "as"), ("os documentos", "os"), ("os manuais", "os")) for kind in ("citad", "recebid", "recuperad", "fornecid", "consultad", "dad")]
 LACK = {
-    "pt": ["não trata{m} disso", "não menciona{m} {x}", "não permite{m} responder", "não chega{m} a abordar {x}", "nada diz{em} sobre {x}", "silencia{m} quanto a {x}", "passa{m} ao largo de {x}", "não basta{m} para responder", "não descreve{m} {x}", "não cita{m} {x}", "é omisso nesse ponto", "são omissos a respeito de {x}", "tratam de outra coisa", "não traz{em} essa informação", "não contém esse dado", "não fornece{m} elementos para responder", "permite chegar a uma resposta", "não aborda{m} esse assunto"],
+    "pt": ["não trata{m} disso", "não menciona{m} {x}", "não permite{m} responder", "não chega{m} a abordar {x}", "nada diz{em} sobre {x}", "silencia{m} quanto a {x}", "passa{m} ao largo de {x}", "não basta{m} para responder", "não descreve{m} {x}", "não cita{m} {x}", "é omisso nesse ponto", "são omissos", "silenciam quanto a {x}", "passam ao largo do tema que envolve {x}", "não chegam a abordar {x}", "são omissos a respeito de {x}", "tratam de outra coisa", "não traz{em} essa informação", "não contém esse dado", "não fornece{m} elementos para responder", "permite chegar a uma resposta", "não aborda{m} esse assunto"],
     "es": ["no tratan ese tema", "no mencionan {x}", "no permiten responder", "no dicen nada sobre {x}", "no contienen ese dato", "guardan silencio sobre {x}", "permite dar una respuesta", "no bastan para responder"],
     "en": ["do not mention {x}", "say nothing about {x}", "do not cover this topic", "do not contain that information", "are silent on {x}", "are not enough to answer", "allow an answer", "do not address {x}"],
 }
@@ -71,7 +77,7 @@ OPENING = {
     "es": ["", "", "lo siento, pero ", "lamentablemente ", "disculpe, "], "en": ["", "", "i'm sorry, but ", "sorry, ", "unfortunately, ", "regrettably "],
 }
 CLOSING = {
-    "pt": ["", "", "", ", em especial sobre {x}", "; portanto, não há como responder", ", e por isso me abstenho", ". tente reformular a pergunta", ". consulte um profissional habilitado", ". recomendo consultar {x}", ". recomendo procurar um especialista", ": os trechos são omissos", ", infelizmente"],
+    "pt": ["", "", "", ", em especial sobre {x}", "; portanto, não há como responder", ", e por isso me abstenho", ". tente reformular a pergunta", ". consulte um profissional habilitado", ". recomendo consultar {x}", ". recomendo procurar um especialista", ": os trechos são omissos", ": as páginas tratam de outra coisa", ": os textos não bastam", ", infelizmente"],
     "es": ["", "", ". intente reformular la pregunta", ". consulte a un profesional", ", en especial sobre {x}"], "en": ["", "", ". please rephrase the question", ". please consult a professional", ", especially about {x}"],
 }
 #: Openings after which an answer still answers.
@@ -336,6 +342,8 @@ class Model:
                 add("truncada", self.shape.features(a.rstrip()[:-1]), 0)
             things = [make.random.choice(make.things).split(" ", 1)[1] for _ in range(make.random.randint(2, 4))]
             add("truncada", self.shape.features(a.rstrip() + "\n- " + "\n- ".join(things)), 0)
+            if tail := TAIL.search(a):
+                add("truncada", self.shape.features(make.random.choice(make.things).capitalize() + ", " + tail[1]), 0)
             if amounts := AMOUNT.findall(a):
                 add("truncada", self.shape.features(make.random.choice(["", "", "Sim, ", "Cerca de ", "[1] "]) + make.random.choice(amounts)), 0)
             for _ in range(4):
@@ -345,11 +353,11 @@ class Model:
         for label, rows in data.items():
             fit, test = [r for r in rows if not r[2]], [r for r in rows if r[2]]
             if label == "recusa":  # a sentence counts once, however many answers hold it
-                fit = list({(tuple(r[0]), r[1]): r for r in fit}.values())
+                fit = list({(tuple(r[0]), r[1]): r for r in fit}.values()) + [(refusal_features(w), 0, False) for w in SHORT for _ in range(8)]
             self.models[label] = fit_logistic([r[0] for r in fit], np.array([r[1] for r in fit]), epochs=14, l2=3e-4, least=5)
             p = np.array([probability(score(self.models[label], r[0])) for r in test] or [0.0])
             y = np.array([r[1] for r in test] or [0]).astype(bool)
-            self.thresholds[label] = best_threshold(p, y) if y.any() and not y.all() else 0.5
+            self.thresholds[label] = best_threshold(p, y, 0.4) if y.any() and not y.all() else 0.5
             hit = p >= self.thresholds[label]
             self.held_out[label] = (float((hit & y).sum() / max(1, hit.sum())), float((hit & y).sum() / max(1, y.sum())))
 
