@@ -102,3 +102,11 @@ def compare(answers: DataFrame, questions: DataFrame, generate: Generator = plai
     rows = questions.where("comparar").select("question").distinct().join(answers, "question")
     sources = F.transform(F.slice("sources", 1, top), lambda s: F.concat(F.lit("["), s["n"].cast("string"), F.lit("] "), F.coalesce(s["fonte"], F.lit("?"))))
     return rows.select(F.col("question").alias("pergunta"), F.col("answer").alias("rag"), sources.alias("fontes_rag"), generate(F.col("question"), F.lit(""), F.col("hits")).alias("puro"))
+
+
+def model_ready(installed: Callable[[], list[str]], name: str) -> bool:
+    """Whether any installed model has the base name of ``name`` (before its tag); a service that fails isn't ready."""
+    try:
+        return any(name.split(":")[0] in known for known in installed())
+    except Exception:  # noqa: BLE001
+        return False

@@ -37,3 +37,10 @@ def test_coverage_mark(spark):
     cases = {A.REFUSAL: False, A.REFUSAL.upper(): False, "Texto. A informação não está no corpus consultado. Mais.": False, "Sim [1].": True, "": True}
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "a string").coalesce(1)
     assert [r["c"] for r in rows.select(A.covered(F.col("a")).alias("c")).collect()] == [*cases.values(), False]
+
+
+def test_readiness():
+    def broken():
+        raise OSError
+
+    assert A.model_ready(lambda: ["a:1b", "modelo:7b"], "modelo:3b") and not A.model_ready(lambda: ["a"], "modelo:3b") and not A.model_ready(broken, "a")
