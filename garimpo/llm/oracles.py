@@ -16,7 +16,7 @@ select a as chunk_id_a, b as chunk_id_b from c join n x on x.chunk_id = a join n
 
 P5 = r"""
 with m as (select id, min(fonte) as fonte from manifest group by id),
-c as (select distinct chunk_id, fonte, text from chunks join m on doc_id = id where fonte is not null and text is not null),
+c as (select distinct chunk_id, m.fonte, text from chunks join m on doc_id = id where m.fonte is not null and text is not null),
 n as (select fonte, count(distinct chunk_id) as n from c group by fonte),
 r as (select fonte, chunk_id, string_split(text, chr(10)) as l from c),
 x as (select fonte, chunk_id, unnest(generate_series(1, len(l)))::int as linha_no, unnest(l) as raw from r),
