@@ -12,7 +12,7 @@ from garimpo.functions.tokens import count_tokens, count_words
 from garimpo.operators import answer as A
 from garimpo.operators import clean, project, report, segment, vectors
 from garimpo.oracles import ORACLES  # noqa: F401
-from garimpo.plans.tables import small, table
+from garimpo.plans.tables import cut, small, spread, table
 from garimpo.sources import catalogue as C
 from garimpo.sources.documents import html_text
 from garimpo.streaming.ingest import windowed_counts
@@ -195,7 +195,7 @@ def sentence_split(spark, d):
 
 @query
 def sentence_pack(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(segment.pack_sentences(F.col("text"), 120)).alias("piece_no", "piece"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(segment.pack_sentences(F.col("text"), 120)).alias("piece_no", "piece"))
 
 
 @query
@@ -206,7 +206,7 @@ def block_pack(spark, d):
 
 
 def documents_with_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("fonte"), "categoria", F.lit(None).cast("string").alias("titulo"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("fonte"), "categoria")).withColumn("titulo", F.lit(None).cast("string"))
 
 
 @query
@@ -389,9 +389,9 @@ def label_dispersion(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Clean, cut, embed and search in one plan: hits of the catalogue's questions over the documents' chunks."""
+    """Clean, cut, embed, index and search: hits of the catalogue's questions over the documents' chunks."""
     docs = T.clean_text(documents_with_title(spark, d))
-    chunks = segment.chunk_documents(docs, 256, 128).withColumn("embedding", vectors.embed(F.col("text"), "passage"))
+    chunks = cut(segment.chunk_documents(docs, 256, 128).withColumn("embedding", vectors.embed(F.col("text"), "passage")))  # the index
     asked = questions(spark, d).select("question").distinct().withColumn("embedding", vectors.embed(F.col("question"), "query"))
     found = vectors.search(chunks, asked, 5, query_key="question").withColumnRenamed("qid", "question")
     return found.join(chunks.select("chunk_id", "doc_id", "fonte", "section"), "chunk_id").select("question", "rank", "chunk_id", "doc_id", "fonte", "section", "score")
