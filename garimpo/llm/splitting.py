@@ -6,7 +6,8 @@ line or sentence that begins at a token.  Ranges report counts and boundaries; t
 small tables are stitched per text (prefix sums over the ranges, and the phase of a
 digit run that crosses a border, as tokens take three digits at a time), the cuts are
 chosen on token numbers, and the cuts' offsets are looked up in the range that holds
-the token.  Pieces are then substrings by offset.
+the token.  Each range then emits its part of every piece that touches it, and the parts
+are joined by key and piece; a whole text is only held where its row is read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,12 @@ HEADING_LINE = re.compile(
     r"\s*(?:(?:cap[íi]tulo|se[çc][ãa]o|t[íi]tulo|anexo|parte|chapter|section|annex)\b|art(?:igo)?\.?\s*\d|cr[ée]dito\s+\S|#{1,6}\s|\d+(?:\.\d+){0,3}\.?\s+[^\W\d_])", re.I
 )
 
-RANGE_SQL = "key string, number int, tokens int, lead int, whole boolean, tail int, starts binary, marks binary, levels binary"
+RANGE_SQL = "key string, version bigint, number int, tokens int, lead int, whole boolean, tail int, starts binary, marks binary, levels binary"
 RANGE = pa.schema(
-    [("key", pa.string()), ("number", pa.int32()), ("tokens", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_()), ("tail", pa.int32()), ("starts", pa.binary()), ("marks", pa.binary()), ("levels", pa.binary())]
+    [("key", pa.string()), ("version", pa.int64()), ("number", pa.int32()), ("tokens", pa.int32()), ("lead", pa.int32()), ("whole", pa.bool_()), ("tail", pa.int32()), ("starts", pa.binary()), ("marks", pa.binary()), ("levels", pa.binary())]
 )
-CUT_SQL = "key string, piece int, pieces int, total int, first int, last int, range_first int, at_first int, direct_first int, range_last int, at_last int, direct_last int"
-CUT = pa.schema([(x.split()[0], pa.string() if x.split()[1] == "string" else pa.int32()) for x in CUT_SQL.split(", ")])
+CUT_SQL = "key string, version bigint, range_end int, piece int, pieces int, total int, first int, last int, range_first int, at_first int, direct_first int, range_last int, at_last int, direct_last int"
+CUT = pa.schema([(x.split()[0], {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[x.split()[1]]) for x in CUT_SQL.split(", ")])
 
 
 @lru_cache(1)
@@ -106,7 +108,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = char_classes()
     for rows in batches:
         out: list[list] = [[] for _ in RANGE]
-        for key, number, begin, size, left, text in zip(*(rows.column(i).to_pylist() for i in range(6))):
+        for key, version, number, begin, size, left, text in zip(*(rows.column(i).to_pylist() for i in range(7))):
             points = code_points(text)
             classes = table[points]
             own = classes[left : left + size]
@@ -125,7 +127,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             level = boundary_levels(text, classes, points, starts)
             natural = np.flatnonzero(level)
             digits = own[0] == NUMBER
-            for column, value in zip(out, (key, number, len(starts), lead if digits else 0, whole, tail, (starts - left + begin).astype(np.int32).tobytes(), natural.astype(np.int32).tobytes(), level[natural].tobytes())):
+            for column, value in zip(out, (key, version, number, len(starts), lead if digits else 0, whole, tail, (starts - left + begin).astype(np.int32).tobytes(), natural.astype(np.int32).tobytes(), level[natural].tobytes())):
                 column.append(value)
         yield batch(RANGE, *out)
 
@@ -148,6 +150,8 @@ def choose(total: int, marks: np.ndarray, levels: np.ndarray, limit: int, overla
 
 def stitch(limit: int, overlap: int, range_chars: int):
     def of(rows: pa.Table) -> pa.Table:
+        version = pc.min(rows["version"]).as_py()  # of a key's different texts one
+        rows = rows.filter(pc.equal(rows["version"], version))
         order = np.argsort(rows["number"].to_numpy())
         _, once = np.unique(rows["number"].to_numpy()[order], return_index=True)  # a repeated delivery repeats its ranges
         rows = rows.take(pa.array(order[once]))
@@ -176,7 +180,7 @@ def stitch(limit: int, overlap: int, range_chars: int):
             return numbers[at], own - lead_tokens[at], direct
 
         key = rows["key"][0].as_py()
-        table = [(key, i, len(pieces), total, f, t, *place(f), *(place(t) if t < total else (-1, 0, None))) for i, (f, t) in enumerate(pieces)]
+        table = [(key, version, numbers[-1], i, len(pieces), total, f, t, *place(f), *(place(t) if t < total else (-1, 0, None))) for i, (f, t) in enumerate(pieces)]
         return pa.Table.from_batches([batch(CUT, *map(list, zip(*table)))])
 
     return of
@@ -206,29 +210,41 @@ def split(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int =
     body = F.col(text)
     long = df.where((F.length(body) > limit) & F.col(key).isNotNull())
     begin = F.explode(F.sequence(F.lit(0), F.length(body) - 1, F.lit(range_chars)))
-    ranges = long.select(F.col(key).cast("string").alias("key"), begin.alias("begin"), body.alias("body")).withColumn("left", F.least("begin", F.lit(HALO)))
-    ranges = ranges.select(
-        "key", (F.col("begin") / range_chars).cast("int").alias("number"), "begin",
+    whole = long.select(F.col(key).cast("string").alias("key"), F.xxhash64(body).alias("version"), begin.alias("begin"), body.alias("body"))
+    whole = whole.withColumn("left", F.least("begin", F.lit(HALO))).withColumn("number", (F.col("begin") / range_chars).cast("int"))
+    ranges = whole.select(
+        "key", "version", "number", "begin",
         F.least(F.lit(range_chars), F.length("body") - F.col("begin")).alias("size"), "left",
         F.expr(f"substring(body, begin - left + 1, left + {range_chars + HALO})").alias("part"),
     )
     table = cut(ranges.mapInArrow(scan, RANGE_SQL))
     cuts = cut(table.drop("starts").groupBy("key").applyInArrow(stitch(limit, overlap, range_chars), CUT_SQL))
-    sides = cuts.select("key", "piece", F.explode(F.array(
+    sides = cuts.select("key", "version", "piece", F.explode(F.array(
         F.struct(F.lit("first").alias("side"), F.col("range_first").alias("number"), F.col("at_first").alias("at"), F.col("direct_first").alias("direct")),
         F.struct(F.lit("last").alias("side"), F.col("range_last").alias("number"), F.col("at_last").alias("at"), F.col("direct_last").alias("direct")),
-    )).alias("s")).select("key", "piece", "s.*").where("number >= 0")
-    found = sides.join(table.select("key", "number", "starts").dropDuplicates(["key", "number"]), ["key", "number"]).mapInArrow(offsets, "key string, piece int, side string, offset int")
+    )).alias("s")).select("key", "version", "piece", "s.*").where("number >= 0")
+    found = sides.join(table.select("key", "version", "number", "starts").dropDuplicates(["key", "version", "number"]), ["key", "version", "number"]).mapInArrow(offsets, "key string, piece int, side string, offset int")
     at = found.groupBy("key", "piece").agg(F.max(F.when(F.col("side") == "first", F.col("offset"))).alias("start"), F.max(F.when(F.col("side") == "last", F.col("offset"))).alias("stop"))
-    pieces = cuts.join(at, ["key", "piece"], "left").groupBy("key").agg(F.collect_list(F.struct("piece", "pieces", "first", "last", "start", "stop")).alias("p"))
-    rows = long.select(F.col(key).cast("string").alias("key"), body.alias("body"), *keep).join(pieces, "key").dropDuplicates(["key"])
-    rows = rows.select("key", "body", *keep, F.explode("p").alias("p"))
-    start = F.when(F.col("p.piece") == 0, F.lit(0)).otherwise(F.col("p.start"))
-    end = F.coalesce(F.col("p.stop"), F.length("body"))
-    return rows.select(
-        F.col("key").alias(key), F.col("p.piece").alias("piece"), F.col("p.pieces").alias("pieces"), start.alias("start"), end.alias("end"),
-        (F.col("p.last") - F.col("p.first")).alias("n_tokens"), F.substring("body", start + 1, end - start).alias(text), *keep,
+    pieces = cuts.join(at, ["key", "piece"], "left").withColumn("start", F.when(F.col("piece") == 0, F.lit(0)).otherwise(F.col("start")))
+    pieces = pieces.select("key", "version", "piece", "pieces", (F.col("last") - F.col("first")).alias("n_tokens"), "start", "stop", F.explode(F.expr(
+        f"sequence(cast(start div {range_chars} as int), coalesce(cast((stop - 1) div {range_chars} as int), range_end))"
+    )).alias("number"))
+    # each range's part of the pieces that touch it; a repeated delivery repeats its parts
+    own = whole.select("key", "version", "number", F.substring("body", F.col("begin") + 1, F.lit(range_chars)).alias("own"))
+    skip = F.greatest(F.col("start") - F.col("number") * range_chars, F.lit(0))
+    upto = F.least(F.coalesce(F.col("stop") - F.col("number") * range_chars, F.lit(range_chars)), F.lit(range_chars))
+    parts = pieces.join(own, ["key", "version", "number"]).withColumn("part", F.substring("own", skip + 1, upto - skip))
+    rows = parts.groupBy("key", "version", "piece", "pieces", "n_tokens", "start", "stop").agg(F.sort_array(F.collect_set(F.struct("number", "part"))).alias("parts"))
+    joined = F.array_join(F.col("parts.part"), "")
+    rows = rows.select(
+        F.col("key").alias("_key"), F.col("version").alias("_version"), "piece", "pieces", "start",
+        F.coalesce(F.col("stop"), F.col("start") + F.length(joined)).alias("end"), "n_tokens", joined.alias("_text"),
     )
+    out = [F.col("_key").alias(key), *(F.col(c) for c in ("piece", "pieces", "start", "end", "n_tokens")), F.col("_text").alias(text)]
+    if not keep:
+        return rows.select(*out)
+    kept = long.select(F.col(key).cast("string").alias("_key"), F.xxhash64(body).alias("_version"), F.struct(*keep).alias("_kept")).dropDuplicates(["_key", "_version"])
+    return rows.join(kept, ["_key", "_version"]).select(*out, *(F.col("_kept")[c].alias(c) for c in keep))
 
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int = 64, range_chars: int = 32_768) -> DataFrame:

@@ -54,6 +54,25 @@ def test_cuts_are_natural(spark):
         splitting.split(df, "id", "body", 10, 5)
 
 
+def test_one_of_the_texts_of_a_repeated_key(spark):
+    texts = ["ab " * 30 + "\n" + "cd. " * 60, "x1 " * 200 + "fim"]
+    got = splitting.split(spark.createDataFrame([("a", t) for t in texts], "id string, body string"), "id", "body", 40, 7, 64).orderBy("piece").collect()
+    assert any(all(p["body"] == t[p["start"] : p["end"]] and p["n_tokens"] == tokens(p["body"]) for p in got) and got[-1]["end"] == len(t) for t in texts)
+
+
+def test_whole_texts_are_not_joined(spark):
+    df = spark.createDataFrame([("a", "ab " * 200, "s")], "id string, body string, section string")
+    nodes, joins = [splitting.split(df, "id", "body", 40, 7, 64, keep=("section",))._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert "body" not in [c.output().apply(i).name() for c in below for i in range(c.output().size())]
+        nodes += below
+    assert joins
+
+
 # budgets
 
 
