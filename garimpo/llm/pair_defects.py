@@ -3,7 +3,8 @@
 No pair is labelled.  Answers of a bounded sample are taken as sound; from them the
 defects are made: cut answers, answers that repeat the question, answers in another
 language (swapped between pairs), refusals (put together from a small grammar) and
-empty ones.  A linear model per label sees hashed n-grams and pair features: overlap
+empty ones.  A linear model per label sees named n-grams (a dictionary, not a hashed
+table; those of fewer than five training rows have no weight) and pair features: overlap
 with the question, languages by function words, the shape of the last sentence.  As the
 sample holds real defects too, what the first models find in it is taken out before the
 final ones are fitted.  Thresholds are set on a held-out part.
