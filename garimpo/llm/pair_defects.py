@@ -3,30 +3,34 @@
 No pair is labelled.  Answers of a bounded sample are taken as sound; from them the
 defects are made: cut answers, answers that repeat the question, answers in another
 language (swapped between pairs), refusals (put together from a small grammar) and
-empty ones.  A linear model per label sees named n-grams (a dictionary, not a hashed
-table; those of fewer than five training rows have no weight) and pair features: overlap
-with the question, languages by function words, the shape of the last sentence.  As the
-sample holds real defects too, what the first models find in it is taken out before the
-final ones are fitted.  Thresholds are set on a held-out part.
+empty ones.  A linear model per label sees hashed n-grams and pair features: overlap
+with the question, languages by function words and letters, the shape of the last
+sentence.  As the sample holds real defects too, the models are fitted in turns: pairs
+in which a turn finds a defect are its examples in the next, doubtful ones are left out.
+So wordings that no list foresees are learned from the data the model is used on.
+Thresholds are set on a held-out part.  The labels of a turn are fitted in parallel.
 
 Refusals are judged by sentence: an answer only declines if no sentence answers.
 """
 
 from __future__ import annotations
 
+import io
+import pickle
 import random
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garimpo.llm.common import WORD, batch, lower
-from garimpo.llm.linear import best_threshold, fit_logistic, probability, score
+from garimpo.llm.linear import Hashed, best_threshold
 
 LABELS = ("vazia", "recusa", "copia", "outro_idioma", "truncada")
 CITATION = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]")
@@ -45,6 +49,8 @@ AMOUNT = re.compile(r"\d[\d.,]* (?:[^\W\d_]\S*(?: (?:de|por|da|do) \S+| \S+)?)(?
 PLACEHOLDERS = re.compile(
     r"\(?\b(?:sem resposta|sem conte[úu]do|n/?a|n\.a\.|null|none|nil|nan|undefined|vazio|vazia|resposta|answer|respuesta|response|no answer|sin respuesta|tbd|todo|pendente|em branco|lorem ipsum)\b\)?\s*:?", re.I
 )
+#: A label before an answer.
+LABEL = re.compile(r"^\W*(?:resposta|answer|respuesta|response)\s*:", re.I)
 #: Function words by language.
 FUNCTION_WORDS = {
     "pt": "o a os as um uma de do da dos das em no na nos nas por pelo pela para com sem que não é são foi se ao à aos às ou e mais como quando também até entre sobre seu sua isso esse essa este esta qual quais quanto há já só deve cerca contra caso segundo",
@@ -115,7 +121,7 @@ def empty_features(question: str, answer: str | None) -> list[str]:
 
 
 def copy_features(question: str, answer: str) -> list[str]:
-    q, a = words(question), words(PLACEHOLDERS.sub(" ", bare(answer)))
+    q, a = words(question), words(LABEL.sub(" ", bare(answer)))
     cq, ca = Counter(q), Counter(a)
     same = sum((cq & ca).values())
     pq, pa_ = Counter(zip(q, q[1:])), Counter(zip(a, a[1:]))
@@ -139,7 +145,8 @@ def language_features(question: str, answer: str) -> list[str]:
         if len(w) >= 4 and language(w)[0] == lq:
             out.append("some own sentence")
             break
-    return out
+    letters = {t[i : i + 3] for t in (f" {w} " for w in a) for i in range(len(t) - 2)}
+    return out + [f"letters={lq}|{g}" for g in letters]
 
 
 def refusal_features(sentence: str) -> list[str]:
@@ -149,7 +156,7 @@ def refusal_features(sentence: str) -> list[str]:
 
 
 def sentences(answer: str) -> list[str]:
-    return [s for s in SENTENCE.split(PLACEHOLDERS.sub(" ", bare(answer))) if words(s)]
+    return [s for s in SENTENCE.split(LABEL.sub(" ", bare(answer))) if words(s)]
 
 
 class EndShape:
@@ -233,8 +240,10 @@ class Maker:
         r = self.random.random()
         if r < 0.5:  # between words, late
             at = self.random.choice(plain[max(1, len(plain) - 14) :])
-        elif r < 0.75:  # within a word
-            at = self.random.choice(plain[1:]) + self.random.randint(2, 5)
+        elif r < 0.75:  # within a word, anywhere
+            word = self.random.choice(plain[1:])
+            end = next((i for i in plain if i > word), len(text))
+            at = word + self.random.randint(2, max(2, end - word - 2))
         else:
             at = self.random.choice(plain[1:])
         out = text[:at].rstrip()
@@ -295,77 +304,138 @@ class Maker:
 EMPTY = [None, "", " ", "\n", "\t", " ", "​", "-", "—", "...", "…", ".", "[1]", "[2] [3]", "[1][2]", "N/A", "n/a", "null", "None", "Resposta:", "(sem resposta)", "[4].", "***", "?", "[1] -", "\"\"", "()"]
 
 
-#: Probability of a defect from which a pair of the sample no longer counts as sound.
-DOUBT = 0.2
+#: Probability of a defect from which a pair of the sample no longer counts as sound, and from which it is an example of the defect.
+DOUBT, SURE = 0.2, 0.6
+
+
+def readable(answer: str | None) -> bool:
+    return bool(words(PLACEHOLDERS.sub(" ", bare(answer))))
+
+
+class Examples:
+    """What a turn learns from: the sample, the defect (or doubt) found in each pair so far, and the shape of endings."""
+
+    def __init__(self, pairs: list[tuple[str, str]], found: list[str | None], declining: list[bool], shape: EndShape, seed: int):
+        self.pairs, self.found, self.declining, self.shape, self.seed = pairs, found, declining, shape, seed
+        self.halves = [zlib.crc32(f"{q}\n{a}".encode("utf-8", "surrogatepass")) & 1 for q, a in pairs]
+
+    def rows(self, label: str) -> Iterator[tuple[list[str], int, bool, int]]:
+        """(features, is the defect, held out, half of the sample) of the label's examples."""
+        sound = [p for p, f in zip(self.pairs, self.found) if f is None] or self.pairs
+        make = Maker(sound, self.seed)
+        pick = make.random.choice
+        for (q, a), f, declines, half in zip(self.pairs, self.found, self.declining, self.halves):
+            h = make.random.random() < 0.2
+            if f == label and label in ("recusa", "outro_idioma", "truncada"):  # found by an earlier turn
+                own = sentences(a) if label == "recusa" else [a]
+                for s in own:
+                    yield self.features(label, q, s), 1, h, half
+            if f is not None:
+                continue
+            yield from ((*row, h, half) for row in getattr(self, label)(make, pick, q, a, declines))
+
+    def features(self, label: str, q: str, a: str) -> list[str]:
+        return refusal_features(a) if label == "recusa" else self.shape.features(a) if label == "truncada" else {"vazia": empty_features, "copia": copy_features, "outro_idioma": language_features}[label](q, a)
+
+    def vazia(self, make, pick, q, a, declines):
+        yield empty_features(q, a), 0
+        yield empty_features(q, pick(EMPTY)), 1
+
+    def copia(self, make, pick, q, a, declines):
+        yield copy_features(q, a), 0
+        yield copy_features(q, make.copied(q)), 1
+        yield copy_features(q, make.copied(q) + " " + a), 0
+
+    def outro_idioma(self, make, pick, q, a, declines):
+        yield language_features(q, a), 0
+        yield language_features(q, make.quoting(a)), 0
+        if f := make.foreign(q, a):
+            yield language_features(q, f), 1
+
+    def recusa(self, make, pick, q, a, declines):
+        own = sentences(a)
+        if not declines:  # some sentence reads like a refusal: it is no example of sound ones
+            for s in own[:3]:
+                yield refusal_features(s), 0
+            if own:
+                yield refusal_features(make.hedged(own[0])), 0
+        for s in sorted({s for _ in range(6) for s in sentences(make.refusal())}):
+            yield refusal_features(s), 1
+
+    def truncada(self, make, pick, q, a, declines):
+        f, text = self.shape.features, a.rstrip()
+        yield f(a), 0
+        if text.endswith("."):
+            yield f(text[:-1]), 0
+        things = [pick(make.things).split(" ", 1)[1] for _ in range(make.random.randint(2, 4))]
+        yield f(text + "\n- " + "\n- ".join(things)), 0
+        if tail := TAIL.search(a):
+            yield f(pick(make.things).capitalize() + ", " + tail[1]), 0
+        if amounts := AMOUNT.findall(a):
+            yield f(pick(["", "", "Sim, ", "Cerca de ", "[1] "]) + pick(amounts)), 0
+        for _ in range(4):
+            if c := make.cut(a):
+                yield f(c), 1
+
+
+def fit_label(label: str, examples: Examples, last: bool) -> tuple[Hashed, float, tuple[float, float], list[tuple[float, float, float]]]:
+    """The label's model, threshold, held-out precision and recall; before the last turn the (least, mean, most) probability of its defect in the sentences of each pair, by a model of the other half of the sample."""
+    model = Hashed()
+    rows = [(model.cells(f), y, h, half) for f, y, h, half in examples.rows(label)]
+
+    def fitted(some: list) -> Hashed:
+        if label == "recusa":  # a sentence counts once, however many answers hold it
+            some = list({(r[0].tobytes(), r[1]): r for r in some}.values()) + [(model.cells(refusal_features(w)), 0) for w in SHORT for _ in range(8)]
+        return Hashed().fit([r[0] for r in some], np.array([r[1] for r in some]))
+
+    if not last:
+        halves = [fitted([r for r in rows if r[3] != k]) if any(r[3] != k for r in rows) else model for k in (0, 1)]
+        seen = []
+        for (q, a), half in zip(examples.pairs, examples.halves):
+            each = [halves[half].probability(examples.features(label, q, s)) for s in (sentences(a) if label == "recusa" else [a])] or [0.0]
+            seen.append((min(each), sum(each) / len(each), max(each)))
+        return model, 0.5, (0.0, 0.0), seen
+    model = fitted([r for r in rows if not r[2]])
+    test = [r for r in rows if r[2]]
+    p = np.array([model.of_cells(r[0]) for r in test] or [0.0])
+    y = np.array([r[1] for r in test] or [0]).astype(bool)
+    threshold = best_threshold(p, y, 0.35, 0.75) if y.any() and not y.all() else 0.5
+    hit = p >= threshold
+    return model, threshold, (float((hit & y).sum() / max(1, hit.sum())), float((hit & y).sum() / max(1, y.sum()))), []
 
 
 class Model:
     """The five linear models with their thresholds."""
 
-    def fit(self, pairs: list[tuple[str, str]], seed: int = 7) -> Model:
-        pairs = [(q, a) for q, a in pairs if q and a and len(words(PLACEHOLDERS.sub(" ", bare(a)))) >= 1]
-        if not pairs:
-            pairs = [("Qual é o valor?", "O valor é 3 kWh.")]
+    def fit(self, pairs: list[tuple[str, str]], seed: int = 7, turns: int = 4, each: Callable[[Callable, Iterable], list] = lambda f, labels: [f(x) for x in labels]) -> Model:
+        """``each`` maps the fit over the labels; it may run them in parallel."""
+        pairs = [(q, a) for q, a in pairs if q and a and readable(a)] or [("Qual é o valor?", "O valor é 3 kWh.")]
         self.shape = EndShape([a for _, a in pairs])
-        for turn in range(3):
-            self.train(pairs, seed + turn, final=turn == 2)
-            if turn < 2:
-                kept = [p for p in pairs if max(self.probabilities(*p).values()) < DOUBT]
-                pairs = kept if len(kept) > len(pairs) // 3 else pairs
+        found: list[str | None] = [None] * len(pairs)
+        declining = [False] * len(pairs)
+        for turn in range(turns):
+            examples = Examples(pairs, found, declining, self.shape, seed + turn)
+            fitted = dict(zip(LABELS, each(lambda label, e=examples, last=turn == turns - 1: fit_label(label, e, last), LABELS)))
+            if turn == turns - 1:
+                break
+            seen = {k: v[3] for k, v in fitted.items()}
+            found, declining = [], []
+            for i in range(len(pairs)):
+                low, mean, high = seen["recusa"][i]
+                p = {k: seen[k][i][0] for k in LABELS} | {"recusa": mean if high >= 0.8 and low >= 0.1 else low}
+                found.append(next((k for k in LABELS if p[k] >= SURE), "doubt" if max(p.values()) >= DOUBT else None))
+                declining.append(high >= 0.3)
+            if found.count(None) < len(pairs) // 3:  # the models find fault with nearly all: they aren't trusted
+                found, declining = [None] * len(pairs), [False] * len(pairs)
+        self.models = {k: v[0] for k, v in fitted.items()}
+        self.thresholds = {k: v[1] for k, v in fitted.items()}
+        self.held_out = {k: v[2] for k, v in fitted.items()}
         return self
 
-    def train(self, pairs, seed: int, final: bool) -> None:
-        make = Maker(pairs, seed)
-        order = make.random.sample(range(len(pairs)), len(pairs))
-        held = set(order[: len(order) // 5])
-        data: dict[str, list[tuple[list[str], int, bool]]] = {k: [] for k in LABELS}
-        for i, (q, a) in enumerate(pairs):
-            h = i in held
-            add = lambda label, f, y: data[label].append((f, y, h))  # noqa: B023, E731
-            add("vazia", empty_features(q, a), 0)
-            add("vazia", empty_features(q, make.random.choice(EMPTY)), 1)
-            add("copia", copy_features(q, a), 0)
-            add("copia", copy_features(q, make.copied(q)), 1)
-            add("copia", copy_features(q, make.copied(q) + " " + a), 0)
-            add("outro_idioma", language_features(q, a), 0)
-            add("outro_idioma", language_features(q, make.quoting(a)), 0)
-            if f := make.foreign(q, a):
-                add("outro_idioma", language_features(q, f), 1)
-            own = sentences(a)
-            for s in own[:3]:
-                add("recusa", refusal_features(s), 0)
-            if own:
-                add("recusa", refusal_features(make.hedged(own[0])), 0)
-            for s in {s for _ in range(6) for s in sentences(make.refusal())}:
-                add("recusa", refusal_features(s), 1)
-            add("truncada", self.shape.features(a), 0)
-            if a.rstrip().endswith("."):
-                add("truncada", self.shape.features(a.rstrip()[:-1]), 0)
-            things = [make.random.choice(make.things).split(" ", 1)[1] for _ in range(make.random.randint(2, 4))]
-            add("truncada", self.shape.features(a.rstrip() + "\n- " + "\n- ".join(things)), 0)
-            if tail := TAIL.search(a):
-                add("truncada", self.shape.features(make.random.choice(make.things).capitalize() + ", " + tail[1]), 0)
-            if amounts := AMOUNT.findall(a):
-                add("truncada", self.shape.features(make.random.choice(["", "", "Sim, ", "Cerca de ", "[1] "]) + make.random.choice(amounts)), 0)
-            for _ in range(4):
-                if c := make.cut(a):
-                    add("truncada", self.shape.features(c), 1)
-        self.models, self.thresholds, self.held_out = {}, {}, {}
-        for label, rows in data.items():
-            fit, test = [r for r in rows if not r[2]], [r for r in rows if r[2]]
-            if label == "recusa":  # a sentence counts once, however many answers hold it
-                fit = list({(tuple(r[0]), r[1]): r for r in fit}.values()) + [(refusal_features(w), 0, False) for w in SHORT for _ in range(8)]
-            self.models[label] = fit_logistic([r[0] for r in fit], np.array([r[1] for r in fit]), epochs=14, l2=3e-4, least=5)
-            p = np.array([probability(score(self.models[label], r[0])) for r in test] or [0.0])
-            y = np.array([r[1] for r in test] or [0]).astype(bool)
-            self.thresholds[label] = best_threshold(p, y, 0.4) if y.any() and not y.all() else 0.5
-            hit = p >= self.thresholds[label]
-            self.held_out[label] = (float((hit & y).sum() / max(1, hit.sum())), float((hit & y).sum() / max(1, y.sum())))
-
     def probabilities(self, question: str | None, answer: str | None) -> dict[str, float]:
         q = question or ""
-        p = lambda label, f: probability(score(self.models[label], f))
-        if not words(PLACEHOLDERS.sub(" ", bare(answer))):
+        p = lambda label, f: self.models[label].probability(f)
+        if not readable(answer):
             return {"vazia": p("vazia", empty_features(q, answer))}
         own = sentences(answer)
         return {
@@ -377,14 +447,41 @@ class Model:
         p = self.probabilities(question, answer)
         return next((k for k in LABELS if p.get(k, 0.0) >= self.thresholds[k]), None)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Written as a one-row table, so that any file system of the session serves."""
+        spark.createDataFrame([(bytearray(pickle.dumps(self)),)], "model binary").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        return Unpickler(io.BytesIO(bytes(spark.read.parquet(path).first()["model"]))).load()
+
+
+class Unpickler(pickle.Unpickler):
+    """Reads models only: names outside this package and NumPy are refused."""
+
+    def find_class(self, module: str, name: str):
+        if module.split(".")[0] in ("garimpo", "numpy") or (module, name) in (("builtins", "set"), ("_codecs", "encode")):
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} isn't part of a model")
+
 
 def train_model(df: DataFrame, question: str, answer: str, sample_rows: int = 3000) -> Model:
-    """A model from at most about ``sample_rows`` distinct pairs, chosen by a hash of the pair."""
+    """A model from at most about ``sample_rows`` distinct pairs, chosen by a hash of the pair; the labels of a turn are fitted in parallel tasks."""
+    spark = df.sparkSession
     pairs = df.select(F.col(question).alias("q"), F.col(answer).alias("a")).where("q is not null and a is not null").distinct()
     total = pairs.count()
     share = max(1, min(1_000_000, int(1e6 * sample_rows / max(1, total))))
     rows = pairs.where(F.pmod(F.xxhash64(F.lit(3), "q", "a"), F.lit(1_000_000)) < share).orderBy("q", "a").limit(2 * sample_rows).collect()
-    return Model().fit([(r["q"], r["a"]) for r in rows])
+
+    def each(fit: Callable[[str], object], labels: Iterable[str]) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b["n"], pa.array([pickle.dumps(fit(labels[n])) for n in b["n"].to_pylist()], pa.binary())], names=["n", "fitted"])
+
+        fitted = spark.range(0, len(labels), numPartitions=len(labels)).toDF("n").mapInArrow(run, "n long, fitted binary").collect()
+        return [pickle.loads(r["fitted"]) for r in sorted(fitted, key=lambda r: r["n"])]
+
+    return Model().fit([(r["q"], r["a"]) for r in rows], each=each)
 
 
 def defects(df: DataFrame, key: str, question: str, answer: str, model: Model | None = None, sample_rows: int = 3000) -> DataFrame:

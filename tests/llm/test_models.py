@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from garimpo.llm import abuse, encoding_repair, pair_defects
-from garimpo.llm.linear import Trees, fit_logistic, isotonic, probability, score
+from garimpo.llm.linear import Hashed, Trees, fit_logistic, isotonic, probability, score
 
 
 def test_trees_and_calibration():
@@ -23,6 +23,9 @@ def test_logistic():
     rows = [["a", f"x{i}"] if i % 2 else ["b", f"x{i}"] for i in range(200)]
     model = fit_logistic(rows, np.array([i % 2 for i in range(200)]))
     assert probability(score(model, ["a"])) > 0.8 > 0.2 > probability(score(model, ["b"]))
+    hashed = Hashed()
+    hashed.fit([hashed.cells(r) for r in rows], np.array([i % 2 for i in range(200)]))
+    assert hashed.probability(["a"]) > 0.8 > 0.2 > hashed.probability(["b"]) and hashed.probability(["never seen"]) == hashed.probability([])
 
 
 # encodings
@@ -91,7 +94,7 @@ def pairs():
     return out
 
 
-def test_defects(spark, pairs):
+def test_defects(spark, pairs, tmp_path):
     rows = [(i, q, a, "x") for i, (q, a) in enumerate(pairs)]
     q = "Como o filtro solar regula a laje industrial na obra 7?"
     cases = {
@@ -106,9 +109,23 @@ def test_defects(spark, pairs):
         for j, a in enumerate(cases[k]):
             assert got.get(1000 + 50 * i + j) == k, (k, a)
     assert sum(n in got for n in range(500)) <= 15
+    once = pair_defects.train_model(df, "q", "a")
+    once.save(spark, f"{tmp_path}/model")
+    again = {r["n"]: r["defect"] for r in pair_defects.defects(df, "n", "q", "a", pair_defects.Model.load(spark, f"{tmp_path}/model")).collect()}
+    assert again == got
     assert pair_defects.defects(df.limit(0), "n", "q", "a").count() == 0
 
 
+def test_refusals_no_list_foresees(pairs):
+    """Wordings beyond the made ones are learned from the sample itself."""
+    unseen = "Seria mero palpite responder; as fontes não detalham {}."
+    things = ["a cisterna lateral", "o medidor predial", "a janela central", "o brise vertical", "a ducha regional", "o poço de recalque"]
+    own = [q for q, _ in pairs if q.startswith("Como")][:12]
+    real = [(q, unseen.format(things[i % 6])) for i, q in enumerate(own)]
+    model = pair_defects.Model().fit(pairs + real)
+    assert sum(model.defect(q, a) == "recusa" for q, a in real) >= 10
+
+
 def test_held_out_defects(pairs):
     model = pair_defects.Model().fit(pairs)
     for label, (precision, recall) in model.held_out.items():
