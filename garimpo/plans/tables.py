@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a folder of our own only where the session names none."""
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names.
+
+    A session of one machine that names none gets a temporary folder; on a cluster, where
+    such a folder would be lost with an executor or unseen by others, none is an error.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    folder = named or "file://" + os.path.join(tempfile.gettempdir(), f"garimpo-checkpoints-{os.getuid()}")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder; set it to one that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="garimpo-checkpoints-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
