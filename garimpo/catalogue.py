@@ -12,9 +12,10 @@ from garimpo.functions.tokens import count_tokens, count_words
 from garimpo.operators import answer as A
 from garimpo.operators import clean, project, report, segment, vectors
 from garimpo.oracles import ORACLES  # noqa: F401
-from garimpo.plans.tables import cut, small, spread, table
+from garimpo.plans.tables import bounded, cut, numbered, scratch, small, spread, table
 from garimpo.sources import catalogue as C
-from garimpo.sources.documents import html_text
+from garimpo.sources import sinks
+from garimpo.sources.documents import html_text, read_pages
 from garimpo.streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,66 @@ def html_char_stats(spark, d):
     return rows.groupBy("source").agg(F.sum("a").alias("chars_raw"), F.sum("b").alias("chars_text"))
 
 
+def catalogue(spark, d):
+    """Catalogue rows, each once."""
+    return table(spark, d, "manifest").where("id is not null").select("id", "titulo", "fonte", "categoria", "ano", "tipo", "url", "insecure").distinct()
+
+
+# written and read again
+
+
+@query
+def manifest_json(spark, d):
+    path = scratch(spark, "manifest")
+    sinks.write_json_array(catalogue(spark, d), path, "id")
+    return C.read_manifest(spark, path).select("id", "titulo", "fonte", "categoria", F.col("ano").cast("string").alias("ano"), "tipo", "url", "insecure")
+
+
+@query
+def text_files(spark, d):
+    path = scratch(spark, "texts")
+    sinks.write_texts(table(spark, d, "documents"), path, fan_out=16)
+    return read_pages(spark, path).select("doc_id", "page_no", "text")
+
+
+@query
+def chunk_lines(spark, d):
+    path = scratch(spark, "lines")
+    rows = once(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "doc_id", "titulo", "fonte", "categoria", "ano", "section", "n_tokens", "text")
+    sinks.write_json_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path).withColumn("n_tokens", F.col("n_tokens").cast("string"))
+
+
+@query
+def report_json(spark, d):
+    path = scratch(spark, "report")
+    sinks.write_json_array(report.chunk_report(once(table(spark, d, "chunks"), "chunk_id")), path, "total_chunks")
+    return spark.read.schema("total_chunks long, tokens_medio double, tokens_min long, tokens_max long").option("multiLine", True).json(path)
+
+
+@query
+def index_growth(spark, d):
+    """An index of half the chunks, to which all are added."""
+    path = scratch(spark, "index")
+    rows = once(table(spark, d, "chunks"), "chunk_id")
+    sinks.write_index(rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0), path)
+    sinks.write_index(rows, path, reset=False)
+    return sinks.read_index(spark, path).groupBy(F.coalesce("categoria", F.lit("")).alias("categoria")).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.size("embedding") > 0).alias("vectors"))
+
+
+@query
+def fetched_pages(spark, d):
+    """Every document of the catalogue fetched (in a dry run) and its pages read."""
+    path = scratch(spark, "raw")
+    C.fetch(catalogue(spark, d), C.EchoFetcher(), path).write.format("noop").mode("overwrite").save()
+    return read_pages(spark, path).select("doc_id", "text", "error")
+
+
+@query
+def fetched_totals(spark, d):
+    return C.fetch_summary(C.fetch(catalogue(spark, d), C.EchoFetcher(), scratch(spark, "raw"))).select("total", "ok", "failed")
+
+
 # cleaning
 
 
@@ -247,9 +308,16 @@ def category_labels(spark, d):
 
 @query
 def middle_chunk(spark, d):
-    order = Window.partitionBy("doc_id").orderBy("chunk_id")
-    rows = once(table(spark, d, "chunks"), "chunk_id").select("doc_id", "chunk_id", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
-    return rows.where(F.expr("i - 1 = n div 2")).select("doc_id", "chunk_id")
+    """A positional sample: the chunk in the middle of each document, found by ranks within ranges of ids."""
+    rows = once(table(spark, d, "chunks"), "chunk_id").select("doc_id", "chunk_id")
+    return report.at_position(rows, "doc_id", "chunk_id", 0.5)
+
+
+@query
+def first_by_fonte(spark, d):
+    """A sample: the first chunk of each source, with the start of its text."""
+    rows = once(table(spark, d, "chunks"), "chunk_id").where("fonte is not null")
+    return report.first_by(rows, "fonte", "chunk_id", ["text"]).select("fonte", "chunk_id", F.substring("text", 1, 900).alias("excerpt"))
 
 
 @query
@@ -323,19 +391,34 @@ def citation_labels(spark, d):
     return rows.select("id", A.top_label(F.col("s")).alias("top"), F.posexplode(A.source_labels(F.col("s"))).alias("i", "label"))
 
 
-def index(spark, d):
+@query
+def chat_messages(spark, d):
+    """What a chat model is sent for each document's hits."""
+    rows = hits(spark, d).withColumn("m", A.messages_of(F.concat(F.lit("O que diz "), "id", F.lit("?")), A.context_of(F.col("hits"))))
+    return rows.select("id", F.posexplode("m").alias("turn", "m")).select("id", "turn", "m.role", "m.content")
+
+
+@query
+def passage_vectors(spark, d):
     """Chunks with vectors of the stand-in model."""
-    rows = once(table(spark, d, "chunks"), "chunk_id").where("text is not null").drop("embedding", "carregado_em")
-    return rows.withColumn("embedding", vectors.embed(F.col("text"), "passage"))
+    rows = once(table(spark, d, "chunks"), "chunk_id").where("text is not null").withColumn("embedding", vectors.embed(F.col("text"), "passage"))
+    return rows.select("chunk_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
 
 
-def questions(spark, d):
-    return table(spark, d, "perguntas").where("q is not null").select(F.col("q").alias("question"), F.coalesce("comparar", F.lit(False)).alias("comparar"))
+def index(spark, d):
+    """Chunks with their stored vectors."""
+    return once(table(spark, d, "chunks"), "chunk_id").where("text is not null").drop("carregado_em")
 
 
-@query
-def passage_vectors(spark, d):
-    return index(spark, d).select("chunk_id", F.size("embedding").alias("dim"), F.round(vectors.norm(F.col("embedding")), 5).alias("norm"))
+def numbered_chunks(rows):
+    """Those whose number is divisible by 20; they stand for the questions."""
+    return rows.where("cast(regexp_extract(chunk_id, '(\\\\d+)$', 1) as int) % 20 = 0")
+
+
+def questions(spark, d):
+    """A question about every such chunk, with the chunk's stored vector."""
+    rows = numbered_chunks(index(spark, d)).where(vectors.usable(F.col("embedding"), 768))
+    return rows.select(F.concat(F.lit("O que diz "), "chunk_id", F.lit("?")).alias("question"), "embedding").withColumn("comparar", F.length("question") % 2 == 0)
 
 
 @query
@@ -344,10 +427,15 @@ def question_hits(spark, d):
     return rows.select("question", F.col("h.rank").alias("rank"), F.col("h.chunk_id").alias("chunk_id"), F.round("h.score", 6).alias("score"))
 
 
+@query
+def answer_sources(spark, d):
+    rows = A.answer(index(spark, d), questions(spark, d), 5).select("question", F.explode("sources").alias("s"))
+    return rows.select("question", "s.*")
+
+
 @query
 def question_answers(spark, d):
-    order = Window.orderBy("question")
-    asked = questions(spark, d).select("question").distinct().withColumn("n", F.row_number().over(order))
+    asked = numbered(questions(spark, d).select("question").distinct(), "question")
     return A.evaluate(A.answer(index(spark, d), questions(spark, d), 5), asked).select("n", "pergunta", "coberta", "resposta", "fonte_top")
 
 
@@ -389,12 +477,17 @@ def label_dispersion(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Clean, cut, embed, index and search: hits of the catalogue's questions over the documents' chunks."""
-    docs = T.clean_text(documents_with_title(spark, d))
-    chunks = cut(segment.chunk_documents(docs, 256, 128).withColumn("embedding", vectors.embed(F.col("text"), "passage")))  # the index
-    asked = questions(spark, d).select("question").distinct().withColumn("embedding", vectors.embed(F.col("question"), "query"))
-    found = vectors.search(chunks, asked, 5, query_key="question").withColumnRenamed("qid", "question")
-    return found.join(chunks.select("chunk_id", "doc_id", "fonte", "section"), "chunk_id").select("question", "rank", "chunk_id", "doc_id", "fonte", "section", "score")
+    """Clean the chunks' texts, cut them into pieces, index and search: the best pieces for a question about every 20th chunk.
+
+    A piece has the stored vector of its chunk.  What is kept between the steps are ids,
+    metadata and vectors; texts end with the cut.
+    """
+    rows = index(spark, d).where(vectors.usable(F.col("embedding"), 768))
+    docs = T.clean_text(spread(rows.select(F.col("chunk_id").alias("doc_id"), "text", F.col("doc_id").alias("source_id"), "fonte", "embedding")))
+    pieces = cut(segment.chunk_documents(docs, 256, 128).select(F.col("chunk_id").alias("piece_id"), F.col("doc_id").alias("chunk_id"), F.col("source_id").alias("doc_id"), "fonte", "section", "embedding"))
+    asked = numbered_chunks(pieces).select(F.concat(F.lit("O que diz "), "chunk_id", F.lit("?")).alias("question"), "embedding").dropDuplicates(["question"])
+    found = bounded(vectors.search(pieces, asked, 5, key="piece_id", query_key="question").withColumnRenamed("qid", "question"), 200)
+    return pieces.drop("embedding").join(found, "piece_id").select("question", "rank", "piece_id", "doc_id", "fonte", "section", F.round("score", 6).alias("score"))
 
 
 query(flagship)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from garimpo.plans.tables import cut, small
+
 
 def report_sets(chunks: DataFrame) -> DataFrame:
     """``(grupo, valor, chunks, tokens_medio, tokens_min, tokens_max)`` for all, category, subcategory and document.
@@ -52,5 +54,26 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_first(column))
 
 
+def first_by(df: DataFrame, group: str, order: str, keep: list[str]) -> DataFrame:
+    """``(group, order, *keep)``: the row of the least ``order`` of each group, ties by the kept values.  No sort: a partial minimum per partition."""
+    least = df.groupBy(group).agg(F.min(F.struct(order, *keep)).alias("r"))
+    return least.select(group, "r.*")
+
+
+def at_position(df: DataFrame, group: str, order: str, share: float) -> DataFrame:
+    """``(group, order)``: in each group the row number ``floor(share * rows)`` from 0, in the order given; ``order`` has distinct values.
+
+    Rows are sorted in ranges of (group, order), so a hot group is spread over many tasks;
+    a row's number is its place in its range plus the group's rows in the ranges before.
+    """
+    rows = df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    rows = cut(rows.select(group, order, F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")))
+    sizes = rows.groupBy(group, "p").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))  # a row a group and range
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.floor(F.sum("n").over(Window.partitionBy(group)) * F.lit(share))
+    sizes = sizes.select(group, "p", (F.col("first") + wanted - before).alias("i"), (wanted - before).between(0, F.col("n") - 1).alias("here")).where("here").drop("here")
+    return rows.join(small(sizes), [group, "p", "i"]).select(group, order)
+
+
 def distinct_labels(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)

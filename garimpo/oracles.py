@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from garimpo.operators.answer import SYSTEM_RAG
+
 W = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CHUNKS = "(select chunk_id, any_value(doc_id) as doc_id, any_value(titulo) as titulo, any_value(fonte) as fonte, any_value(categoria) as categoria, any_value(subcategoria) as subcategoria, any_value(ano) as ano, any_value(vigencia) as vigencia, any_value(url) as url, any_value(section) as section, any_value(n_tokens) as n_tokens, any_value(text) as text, any_value(embedding) as embedding from chunks where chunk_id is not null group by chunk_id)"
@@ -32,6 +36,18 @@ def tokens(x: str) -> str:
     return rf"len(regexp_extract_all({x}, '\p{{L}}+|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{N}}]+'))"
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def compatibility(x: str) -> str:
+    """Compatibility form: the characters of these ranges that have one are replaced, then composed."""
+    for c in map(chr, (*range(0xA0, 0xC0), *range(0x2D8, 0x2DE), *range(0x2000, 0x2150))):
+        if unicodedata.normalize("NFKD", c) != unicodedata.normalize("NFD", c):
+            x = f"replace({x}, {quoted(c)}, {quoted(unicodedata.normalize('NFKC', c))})"
+    return f"nfc_normalize({x})"
+
+
 PAGE = rf"'(?i)^{W}*(p[áa]g(?:ina)?\.?{W}*)?\p{{Nd}}{{1,4}}{W}*(/|de|of)?{W}*\p{{Nd}}{{0,4}}{W}*$'"
 LISTED = rf"'(?i)^{W}*(\p{{Nd}}+(\.\p{{Nd}}+)*[).\-–]{W}|[a-z][).]{W}|[•\-–*]{W}|art\.?{W}*\p{{Nd}}+|cr[ée]dito{W}|tabela{W}*\p{{Nd}}+|requisito{W})'"
 
@@ -82,6 +98,60 @@ EXT = """case when lower({tipo}) in ('pdf', 'html', 'htm', 'docx', 'txt') then '
  when contains({ct}, 'pdf') then '.pdf' when contains({ct}, 'html') then '.html' when contains({ct}, 'word') or contains({ct}, 'officedocument') then '.docx'
  when ends_with({u}, '.pdf') then '.pdf' when ends_with({u}, '.docx') then '.docx' when ends_with({u}, '.html') then '.html' when ends_with({u}, '.htm') then '.htm' when ends_with({u}, '.txt') then '.txt' else '.pdf' end"""
 
+CHARACTERS = rf"replace(regexp_replace({compatibility('text')}, '[\x{{a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{205f}}\x{{3000}}]', ' ', 'g'), chr(65279), '')"
+
+#: From ``base(id, text)`` to ``clean(id, text)``.
+CLEAN = rf"""
+c0 as (select id, regexp_replace({CHARACTERS}, '(\p{{Ll}})-\n(\p{{Ll}})', '\1\2', 'g') as text from base),
+c1 as (select id, text, {lines('text')} as l from c0),
+c2 as (select id, text, l, list_filter(generate_series(1, len(l)), lambda i: i - 1 > len(l) * 0.6::double and regexp_matches(l[i], {REFERENCE})) as hit from c1),
+c3 as (select id, case when len(hit) > 0 then array_to_string(l[:hit[1] - 1], chr(10)) else text end as text from c2),
+c4 as (select id, {filled(rf"""list_transform(string_split_regex(text, '\n{W}*\n'), lambda x: regexp_replace(x, '^\n+|\n+$', '', 'g'))""")} as b from c3),
+c5 as (select id, unnest(generate_series(1, len(b))) as i, unnest(b) as block from c4),
+c6 as (select *, {filled(lines('block'))} as r from c5),
+c7 as (select id, i, case when {STRUCTURED} then array_to_string({filled(rf"""list_transform({lines('block')}, lambda l: regexp_replace(regexp_replace(l, '{W}+$', ''), '[ \t]{{2,}}', ' ', 'g'))""")}, chr(10))
+  else {strip(r"regexp_replace(regexp_replace(block, '[ \t]*\n[ \t]*', ' ', 'g'), '[ \t]{2,}', ' ', 'g')")} end as t from c6),
+c8 as (select c3.id, coalesce(string_agg(t, chr(10) || chr(10) order by i), case when any_value(c3.text) is not null then '' end) as text from c3 left join c7 using (id) group by c3.id),
+clean as (select id, {strip(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")} as text from c8)"""
+
+#: Blocks of ``clean`` packed up to 256 tokens, large ones by sentences, chunks under 128 tokens merged.
+SEGMENTS = rf"""
+b as (select id, {blocks('text')} as b from clean where text is not null),
+x as (select id, unnest(generate_series(1, len(b))) as i, unnest(b) as block from b), y as (select *, {filled(lines('block'))} as r from x), z as (select *, {strip('r[1]')} as f from y),
+h as (select id, i, block, {tokens('block')} as n, {HEADING} as head, {strip(f"({lines(strip('block'))})[1]")} as title from z),
+t as (select *, coalesce(last_value(case when head then title end ignore nulls) over (partition by id order by i rows unbounded preceding), id) as section from h),
+p(id, i, c, n) as (
+  select id, i, 0, case when n > 256 then 1000000 else n end from t where i = 1
+  union all select t.id, t.i, case when t.head or t.n > 256 or p.n + t.n > 256 then p.c + 1 else p.c end,
+    case when t.n > 256 then 1000000 when t.head or p.n + t.n > 256 then t.n else p.n + t.n end from p join t on t.id = p.id and t.i = p.i + 1),
+packed as (select t.id, c, 0 as part, {strip("string_agg(block, chr(10) || chr(10) order by t.i)")} as text, sum(t.n) as n, last(section order by t.i) as section from p join t using (id, i) where t.n <= 256 group by t.id, c),
+s0 as (select t.id, c, section, {SENTENCES.replace('text', 'block')} as s from p join t using (id, i) where t.n > 256),
+s1 as (select id, c, section, unnest(generate_series(1, len(s))) as j, unnest(s) as s from s0), s2 as (select *, {tokens('s')} as n from s1),
+s3(id, c, j, part, n) as (
+  select id, c, j, 0, n from s2 where j = 1
+  union all select s2.id, s2.c, s2.j, case when s3.n + s2.n > 256 then s3.part + 1 else s3.part end, case when s3.n + s2.n > 256 then s2.n else s3.n + s2.n end from s3 join s2 on s2.id = s3.id and s2.c = s3.c and s2.j = s3.j + 1),
+pieces as (select s2.id, c, part, string_agg(s, ' ' order by j) as text, sum(s2.n) as n, any_value(section) as section from s3 join s2 using (id, c, j) group by s2.id, c, part),
+u as (select *, row_number() over (partition by id order by c, part) as k from (select * from packed union all select * from pieces)),
+m(id, k, o, n, section) as (
+  select id, k, 0, n, section from u where k = 1
+  union all select u.id, u.k, case when u.n < 128 and u.section = m.section and u.n + m.n <= 256 then m.o else m.o + 1 end, case when u.n < 128 and u.section = m.section and u.n + m.n <= 256 then u.n + m.n else u.n end, u.section from m join u on u.id = m.id and u.k = m.k + 1),
+segments as (select u.id, o, any_value(u.section) as section, string_agg(u.text, chr(10) || chr(10) order by k) as text, sum(u.n)::int as n from m join u using (id, k) group by u.id, o)"""
+
+#: The five best passages for the vector of every chunk whose number is divisible by 20.
+STORED = f"""
+i as (select *, embedding::double[] as v from {CHUNKS} where text is not null and len(embedding) = 768 and list_max(list_transform(embedding, lambda e: abs(e))) > 0),
+q as (select 'O que diz ' || chunk_id || '?' as question, v as q from i where regexp_extract(chunk_id, '(\\d+)$', 1)::int % 20 = 0),
+d as (select question, chunk_id, round(1 - list_cosine_similarity(q, v), 9) as d from q, i {{where}}),
+o as (select *, row_number() over (partition by question order by d, chunk_id) as rank from d),
+f as (select o.*, 1 - d as score, i.* exclude (chunk_id, embedding, v) from o join i using (chunk_id) where rank <= 5)"""
+#: First sentence of the best passage with its citation, else the refusal.
+SENTENCE = r"regexp_extract(text, '(?s)^\s*(.+?[.!?])(?:\s|$)', 1)"
+ANSWERED = f"""a as (select question, case when {SENTENCE} = '' then 'A informação não está no corpus consultado.' else trim({SENTENCE} || ' [1]') end as answer, coalesce(fonte, '?') || ' (' || printf('%.3f', round(score, 3)) || ')' as top from f where rank = 1)"""
+COVERED = "not contains(lower(answer), 'não está no corpus')"
+
+#: Catalogue rows, each once.
+CATALOGUE = "(select distinct id, titulo, fonte, categoria, ano, tipo, url, insecure from manifest where id is not null)"
+
 ORACLES: dict[str, str] = {
     "format_resolution": f"select distinct id, {EXT.format(tipo='coalesce(tipo, chr(0))', ct='chr(0)', u='lower(coalesce(url, chr(0)))')} as ext from manifest",
     "format_resolution_by_address": f"select distinct id, {EXT.format(tipo='chr(0)', ct='c', u='lower(coalesce(url, chr(0)))')} as ext from (select *, case when ano % 5 = 0 then 'text/html; charset=utf-8' when ano % 5 = 1 then 'application/msword' else '' end as c from manifest_status)",
@@ -154,4 +224,39 @@ select t.doc_id as id, top, (rank - 1)::int as i, '[' || rank || '] ' || coalesc
     "answer_coverage": "select count(*) as perguntas, count(*) filter (resposta is not null and not contains(lower(resposta), 'não está no corpus')) as cobertas, round(count(*) filter (resposta is not null and not contains(lower(resposta), 'não está no corpus')) / greatest(1, count(*))::double, 6) as taxa from avaliacao",
     "coverage_labels": "select distinct n, case when resposta is not null and not contains(lower(resposta), 'não está no corpus') then 'sim' else 'não (sem cobertura)' end as cobertura, coalesce(fontes[1], '') as primeira from avaliacao",
     "compared_questions": "select pergunta, count(distinct n) as respostas, count(*) filter (resposta is not null and not contains(lower(resposta), 'não está no corpus')) as cobertas from avaliacao where pergunta in (select q from perguntas where comparar) group by pergunta",
+    "compatibility_form": f"select chunk_id, {CHARACTERS} as text from {CHUNKS}",
+    "clean_texts": f"with base as (select chunk_id as id, text from {CHUNKS}), {CLEAN} select id as chunk_id, text from clean",
+    "clean_diagnostics": f"""with {PAGES}, a as (select doc_id, list(key) as keys from r group by doc_id),
+s as (select doc_id, regexp_extract(chunk_id, '(\\d+)$', 1)::int as page_no, coalesce(array_to_string(list_filter(l, lambda x: not coalesce(list_contains(keys, {key('x')}), false) and not regexp_matches(x, {PAGE})), chr(10)), '') as text from l left join a using (doc_id)),
+base as (select doc_id as id, string_agg(text, chr(10) || chr(10) order by page_no, text) as text from s group by doc_id), {CLEAN}
+select doc_id, n.n_pages, n.n_chars_raw, length(text) as n_chars_clean, coalesce(len(keys), 0)::int as n_headers
+from (select doc_id, count(*)::int as n_pages, sum(length(text))::bigint as n_chars_raw from p group by doc_id) n join clean on id = doc_id left join a using (doc_id)""",
+    "document_chunks": f"""with recursive base as (select doc_id::varchar as id, text from documents), {CLEAN}, {SEGMENTS}
+select id || '::' || lpad(o::varchar, greatest(3, len(o::varchar))::int, '0') as chunk_id, id::bigint as doc_id, d.source as fonte, section, n as n_tokens, segments.text from segments join documents d on d.doc_id = id::bigint""",
+    "passage_vectors": f"select chunk_id, 256 as dim, 1.0::double as norm from {CHUNKS} where text is not null",
+    "question_hits": f"with {STORED.format(where='')} select question, rank::int as rank, chunk_id, round(score, 6) as score from f",
+    "question_answers": f"with {STORED.format(where='')}, {ANSWERED} select row_number() over (order by question) as n, question as pergunta, {COVERED} as coberta, answer as resposta, top as fonte_top from a",
+    "filtered_answers": f"""with {STORED.format(where="where subcategoria = 'energia'")}, {ANSWERED}, c as (select question, count(*)::int as n_sources from f group by question)
+select question, coalesce(answer, 'A informação não está no corpus consultado.') as answer, coalesce(n_sources, 0) as n_sources from q left join a using (question) left join c using (question)""",
+    "answer_comparison": f"""with {STORED.format(where='')}, {ANSWERED}, c as (select question, string_agg('[' || rank || '] ' || coalesce(fonte, '?'), '; ' order by rank) as fontes_rag from f where rank <= 3 group by question)
+select question as pergunta, answer as rag, fontes_rag, 'Sem contexto: ' || question as puro from a join c using (question) where length(question) % 2 = 0""",
+    "answer_sources": f"with {STORED.format(where='')} select question, rank::int as n, titulo, fonte, ano, vigencia, categoria, subcategoria, section, doc_id, round(score, 3) as score from f",
+    "chat_messages": f"""with {HITS}, c as (select doc_id as id, string_agg('[' || rank || '] (Fonte: ' || coalesce(fonte, '?') || ' - ' || coalesce(titulo, '?') || ', ' || coalesce(ano, '?') || case when coalesce(section, '') <> '' then '; seção: ' || section else '' end || ')' || chr(10) || text, chr(10) || chr(10) order by rank) as context from t group by doc_id),
+u as (select id, 'CONTEXTO:' || chr(10) || context || chr(10) || chr(10) || 'PERGUNTA: O que diz ' || id || '?' || chr(10) || chr(10) || 'Responda citando as fontes pelos números entre colchetes.' as prompt from c)
+select id, 0 as turn, 'system' as role, {quoted(SYSTEM_RAG)} as content from u union all select id, 1, 'user', prompt from u""",
+    "manifest_json": f"select id, titulo, fonte, categoria, ano::varchar as ano, tipo, url, insecure from {CATALOGUE}",
+    "text_files": "select doc_id::varchar as doc_id, 1 as page_no, text from documents where text is not null",
+    "chunk_lines": f"select chunk_id, doc_id, titulo, fonte, categoria, ano, section, n_tokens::varchar as n_tokens, text from {CHUNKS}",
+    "report_json": f"select count(*) as total_chunks, round(avg(n_tokens), 1) as tokens_medio, min(n_tokens)::bigint as tokens_min, max(n_tokens)::bigint as tokens_max from {CHUNKS}",
+    "index_growth": f"select coalesce(categoria, '') as categoria, count(*) as chunks, count(*) filter (len(embedding) > 0) as vectors from {CHUNKS} group by 1",
+    "fetched_pages": f"select id as doc_id, case when tipo <> 'pdf' then url end as text, case when tipo = 'pdf' then 'no pages' end as error from {CATALOGUE}",
+    "fetched_totals": f"select count(*) as total, count(*) as ok, 0::bigint as failed from {CATALOGUE}",
+    "first_by_fonte": f"select fonte, min_by(chunk_id, chunk_id) as chunk_id, left(min_by(text, chunk_id), 900) as excerpt from {CHUNKS} where fonte is not null group by fonte",
+    "flagship": f"""with recursive base as (select chunk_id as id, text from {CHUNKS} where text is not null), {CLEAN}, {SEGMENTS},
+i as (select id || '::' || lpad(o::varchar, greatest(3, len(o::varchar))::int, '0') as piece_id, id as chunk_id, segments.section, segments.n, e.embedding::double[] as v, e.fonte, e.doc_id
+  from segments join {CHUNKS} e on e.chunk_id = id where len(e.embedding) = 768 and list_max(list_transform(e.embedding, lambda x: abs(x))) > 0),
+q as (select distinct 'O que diz ' || chunk_id || '?' as question, v as q from i where regexp_extract(chunk_id, '(\\d+)$', 1)::int % 20 = 0),
+d as (select question, piece_id, round(1 - list_cosine_similarity(q, v), 9) as d from q, i),
+o as (select *, row_number() over (partition by question order by d, piece_id) as rank from d)
+select question, rank::int as rank, i.piece_id, i.doc_id, i.fonte, i.section, round(1 - d, 6) as score from o join i using (piece_id) where rank <= 5""",
 }

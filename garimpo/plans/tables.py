@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest side, in bytes, that is ever hinted as a broadcast.
@@ -34,6 +35,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that a query writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are written to the shared folder and the lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -54,6 +60,23 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """The rows, cut off from their lineage and counted; hinted as a broadcast if ``row_bytes`` times their number is under ``limit``."""
+    rows = cut(df)
+    return F.broadcast(rows) if rows.count() * row_bytes <= limit else rows
+
+
+def numbered(df: DataFrame, by: str, name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in the order of ``by``: sorted in ranges, numbered inside each and shifted by the sizes of those before."""
+    rows = df.repartitionByRange(by).sortWithinPartitions(by)
+    rows = cut(rows.select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i")))
+    # one row a partition
+    sizes = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("size"), F.min("__i").alias("first"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("__p", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(F.broadcast(shifts), "__p").select((F.col("__i") + F.col("shift")).alias(name), *df.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

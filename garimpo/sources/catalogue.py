@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
-from collections.abc import Callable, Iterator
+import ssl
+import urllib.request
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +14,12 @@ from pyspark.sql import functions as F
 
 from garimpo.functions.text import file_name
 from garimpo.schemas import MANIFEST, MANIFEST_STATUS
+from garimpo.sources.files import file_system, write_file
 
-KNOWN = ("pdf", "html", "htm", "docx", "txt")
+#: Known suffixes in the order in which addresses are tried, marks of content types, headers of a request.
+SUFFIXES = (".pdf", ".docx", ".html", ".htm", ".txt")
+CONTENT_MARKS = (("pdf", ".pdf"), ("html", ".html"), ("word", ".docx"), ("officedocument", ".docx"))
+HEADERS = {"User-Agent": "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/124.0 Safari/537.36", "Accept": "*/*"}
 FETCHED_SQL = "id string, local_path string, downloaded boolean, bytes long, error string"
 
 
@@ -22,16 +28,21 @@ def read_manifest(spark: SparkSession, path: str, status: bool = False) -> DataF
     return spark.read.schema(MANIFEST_STATUS if status else MANIFEST).option("multiLine", True).json(path)
 
 
+def suffix_by_type(tipo: Column) -> Column:
+    suffix = F.concat(F.lit("."), F.lower(F.coalesce(tipo, F.lit(""))))
+    return F.when(suffix.isin(*SUFFIXES), suffix)
+
+
+def suffix_by_address(url: Column) -> Column:
+    address = F.element_at(F.split(F.lower(F.coalesce(url, F.lit(""))), r"\?"), 1)
+    return F.coalesce(*(F.when(address.endswith(suffix), suffix) for suffix in SUFFIXES))
+
+
 def resolve_format(tipo: Column, content_type: Column, url: Column) -> Column:
     """File suffix by declared type, else content type, else the address, else ``.pdf``."""
-    kind = F.lower(F.coalesce(tipo, F.lit("")))
     content = F.lower(F.coalesce(content_type, F.lit("")))
-    address = F.element_at(F.split(F.lower(F.coalesce(url, F.lit(""))), r"\?"), 1)
-    out = F.when(kind.isin(*KNOWN), F.concat(F.lit("."), kind))
-    out = out.when(content.contains("pdf"), ".pdf").when(content.contains("html"), ".html").when(content.contains("word") | content.contains("officedocument"), ".docx")
-    for suffix in (".pdf", ".docx", ".html", ".htm", ".txt"):
-        out = out.when(address.endswith(suffix), suffix)
-    return out.otherwise(".pdf")
+    by_content = F.coalesce(*(F.when(content.contains(mark), suffix) for mark, suffix in CONTENT_MARKS))
+    return F.coalesce(suffix_by_type(tipo), by_content, suffix_by_address(url), F.lit(".pdf"))
 
 
 def raw_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,45 +73,58 @@ class FolderFetcher:
         return open(path, "rb"), None
 
 
-def suffix_of(tipo: str | None, content_type: str | None, url: str | None) -> str:
-    """``resolve_format`` for one document, where it is fetched."""
-    kind, content = (tipo or "").lower(), (content_type or "").lower()
-    if kind in KNOWN:
-        return "." + kind
-    for mark, suffix in (("pdf", ".pdf"), ("html", ".html"), ("word", ".docx"), ("officedocument", ".docx")):
-        if mark in content:
-            return suffix
-    address = (url or "").lower().split("?")[0]
-    return next((s for s in (".pdf", ".docx", ".html", ".htm", ".txt") if address.endswith(s)), ".pdf")
+class HttpFetcher:
+    """Fetches documents over HTTP; redirects are followed, certificates of insecure rows aren't verified, an error status is an error."""
+
+    def __init__(self, headers: dict[str, str] | None = None):
+        self.headers = HEADERS if headers is None else headers
+
+    def open(self, url: str, verify: bool, timeout: float):
+        trust = ssl.create_default_context() if verify else ssl._create_unverified_context()  # noqa: S323
+        answer = urllib.request.urlopen(urllib.request.Request(url, headers=self.headers), timeout=timeout, context=trust)  # noqa: S310
+        return answer, answer.headers.get("Content-Type")
+
+
+class EchoFetcher:
+    """Makes a document of each address's form that holds the address; for dry runs of a catalogue."""
+
+    def open(self, url: str, verify: bool, timeout: float):
+        from garimpo.sources.documents import docx_of
+
+        kind = next((s for s in SUFFIXES if url.lower().split("?")[0].endswith(s)), "")
+        body = docx_of([url]) if kind == ".docx" else f"<html><body><p>{url}</p></body></html>".encode() if kind in (".html", ".htm") else url.encode()
+        return io.BytesIO(body), None
 
 
 def fetch(manifest: DataFrame, fetcher, folder: str, overwrite: bool = False, timeout: float = 120, tasks: int = 32) -> DataFrame:
     """``(id, local_path, downloaded, bytes, error)``: never fails for a document, its error is a value.
 
-    Written where the task runs (``folder`` is shared); a file that exists is kept unless
-    ``overwrite``.  Nothing received counts as not downloaded.
+    ``folder`` is one that all executors share (a mounted path, or an address of a file
+    system that Arrow knows).  A file that exists is kept unless ``overwrite``.  Nothing
+    received counts as not downloaded.
     """
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = file_system(folder)
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
                 try:
                     stream, content_type = fetcher.open(row.url, not row.insecure, timeout)
                     with stream:
-                        path = os.path.join(folder, row.id + suffix_of(row.tipo, content_type, row.url))
-                        if overwrite or not os.path.exists(path):
-                            os.makedirs(folder, exist_ok=True)
-                            with open(path + ".part", "wb") as to:
-                                shutil.copyfileobj(stream, to, 65_536)
-                            os.replace(path + ".part", path)
-                    size = os.path.getsize(path)
+                        by_content = next((suffix for mark, suffix in CONTENT_MARKS if mark in (content_type or "").lower()), None)
+                        path = f"{root}/{row.id}{row.declared or by_content or row.addressed or '.pdf'}"
+                        known = system.get_file_info(path)
+                        if overwrite or not known.is_file:
+                            size = write_file(system, path, iter(lambda: stream.read(65_536), b""))  # noqa: B023
+                        else:
+                            size = known.size
                     out.append((row.id, path, size > 0, size, ""))
                 except Exception as e:  # noqa: BLE001
                     out.append((row.id, "", False, 0, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["id", "local_path", "downloaded", "bytes", "error"])
 
-    rows = manifest.where("id is not null").select("id", "url", "tipo", F.coalesce("insecure", F.lit(False)).alias("insecure"))
+    rows = manifest.where("id is not null").select("id", "url", suffix_by_type(F.col("tipo")).alias("declared"), suffix_by_address(F.col("url")).alias("addressed"), F.coalesce("insecure", F.lit(False)).alias("insecure"))
     return rows.repartition(tasks, "id").mapInPandas(of, FETCHED_SQL)
 
 
@@ -111,5 +135,3 @@ def fetch_summary(status: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum("bytes"), F.lit(0)) / 1024, 1).alias("kb"),
     )
 
-
-Repair = Callable[[Column], Column]

@@ -65,6 +65,15 @@ def docx_paragraphs(content: bytes) -> str:
     return "\n".join(rows)
 
 
+def docx_of(paragraphs: list[str]) -> bytes:
+    """A document of plain paragraphs."""
+    body = "".join(f"<w:p><w:r><w:t xml:space=\"preserve\">{html.escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{WORD_NS[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
 @F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
 def read_docx(content: pd.Series) -> pd.DataFrame:
     out = []

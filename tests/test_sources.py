@@ -1,11 +1,16 @@
 import io
 import json
 import os
+import threading
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pytest
 from pyspark.sql import functions as F
 
-from garimpo.operators.report import chunk_report, histogram, report_sets
+from garimpo.operators import answer as A
+from garimpo.operators.report import at_position, chunk_report, first_by, histogram, report_sets
+from garimpo.plans import tables
 from garimpo.sources import catalogue as C
 from garimpo.sources import documents as D
 from garimpo.sources import sinks
@@ -26,7 +31,6 @@ def test_formats(spark):
     cases = [("PDF", "text/html", "x.txt", ".pdf"), ("htm", None, None, ".htm"), (None, "Text/HTML", "a.pdf", ".html"), ("odt", "application/msword", "", ".docx"), ("", None, "h/a.PDF?x=1", ".pdf"), (None, None, "a.htm", ".htm"), (None, None, "a.bin", ".pdf"), (None, None, None, ".pdf")]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, tipo string, ct string, url string, want string")
     assert rows.where(C.resolve_format(F.col("tipo"), F.col("ct"), F.col("url")) != F.col("want")).count() == 0
-    assert [C.suffix_of(*c[:3]) for c in cases] == [c[3] for c in cases]
 
 
 def test_html(spark):
@@ -70,6 +74,57 @@ def test_fetch(spark, tmp_path):
     assert C.fetch_summary(C.fetch(rows, C.FolderFetcher(str(tmp_path / "web")), raw, tasks=1)).first()["ok"] == 1
 
 
+@pytest.fixture
+def service():
+    """A small web service: pages, a redirect, an error, and a chat model that repeats its question."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/page")
+                return self.end_headers()
+            if self.path == "/gone":
+                return self.send_error(404)
+            body = json.dumps({"models": [{"name": "modelo:7b"}]}).encode() if self.path == "/api/tags" else self.headers["User-Agent"].encode()
+            self.answer(body, "text/html; charset=utf-8")
+
+        def do_POST(self):  # noqa: N802
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = f" {[m['role'] for m in asked['messages']]} {asked['messages'][-1]['content'].splitlines()[-1]} {asked['options']} "
+            self.answer(json.dumps({"message": {"content": said}}).encode(), "application/json")
+
+        def answer(self, body, kind):
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_fetch_over_http(spark, tmp_path, service):
+    rows = spark.createDataFrame([("a", service + "/page", None, True), ("b", service + "/moved", None, False), ("c", service + "/gone", "pdf", None), ("d", "http://127.0.0.1:1/x", None, None)], "id string, url string, tipo string, insecure boolean")
+    got = {r["id"]: r for r in C.fetch(rows, C.HttpFetcher(), str(tmp_path / "raw"), timeout=20, tasks=2).collect()}
+    assert got["a"]["local_path"].endswith("a.html") and got["b"]["downloaded"] and "404" in got["c"]["error"] and got["d"]["error"]
+    assert (tmp_path / "raw" / "a.html").read_text().startswith("Mozilla/5.0")
+
+
+def test_chat_over_http(spark, service):
+    model = A.HttpChat("modelo:3b", service)
+    assert model.ready() and not A.HttpChat("outro", service).ready() and not A.HttpChat("modelo", "http://127.0.0.1:1").ready()
+    rows = spark.createDataFrame([("Qual?", "[1] x")], "question string, context string")
+    say = lambda g: rows.select(g(F.col("question"), F.col("context"), F.lit(None)).alias("a")).first()["a"]
+    assert say(A.chat(lambda: model)) == "['system', 'user'] Responda citando as fontes pelos números entre colchetes. {'temperature': 0.0, 'num_ctx': 8192}"
+    assert say(A.chat(lambda: model, with_context=False, temperature=0.5, context_tokens=10)) == "['system', 'user'] Qual? {'temperature': 0.5, 'num_ctx': 10}"
+
+
 def test_manifest_round_trip(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"id": "á", "ano": 2014, "verified": True}, {"id": "b", "titulo": "T"}], ensure_ascii=False))
     rows = C.read_manifest(spark, str(tmp_path / "m.json"))
@@ -85,7 +140,8 @@ def test_index_and_texts(spark, tmp_path):
     sinks.write_index(rows, path)
     sinks.write_index(rows, path, reset=False)
     assert sinks.read_index(spark, path).count() == 2 and set(sinks.read_index(spark, path).columns) == set(rows.columns)
-    sinks.write_texts(rows.dropDuplicates(["doc_id"]), str(tmp_path / "txt"))
+    assert sinks.write_texts(rows.dropDuplicates(["doc_id"]), str(tmp_path / "txt")) == 1 and (tmp_path / "txt" / "d.txt").exists()
+    assert sinks.write_texts(rows.limit(0), str(tmp_path / "none"), fan_out=4) == 0
     sinks.write_json_lines(rows, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).count() == 3
 
@@ -105,3 +161,35 @@ def test_histogram(spark):
     assert {r["bin"]: r["n"] for r in histogram(rows, "v", 10).collect()} == {1: 1, 2: 1, 6: 1, 10: 2}
     assert histogram(rows.limit(0), "v").count() == 0
     assert histogram(rows.where("v = 10"), "v").first()["n"] == 2
+
+
+def test_positions_and_numbers(spark):
+    rows = spark.createDataFrame([("big", f"c{i:04d}") for i in range(701)] + [("one", "x"), ("two", "a"), ("two", "b"), (None, "z")], "g string, o string").repartition(5)
+    got = {r["g"]: r["o"] for r in at_position(rows, "g", "o", 0.5).collect()}
+    assert got["big"] == "c0350" and got["one"] == "x" and got["two"] == "b"
+    assert {r["g"]: r["o"] for r in first_by(rows, "g", "o", []).collect()}["big"] == "c0000"
+    assert [r["n"] for r in tables.numbered(rows.select("o"), "o").orderBy("o").collect()] == list(range(1, 706))
+    assert at_position(rows.limit(0), "g", "o", 0.5).count() == 0 and tables.numbered(rows.limit(0), "o").count() == 0
+
+
+def test_checkpoint_folder(spark, tmp_path, monkeypatch):
+    """On a cluster a folder has to be named; one machine may have its own."""
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        getCheckpointDir = lambda self: self.folder  # noqa: E731, N815
+        setCheckpointDir = lambda self, folder: setattr(self, "folder", folder)  # noqa: E731, N815
+        getConf = lambda self: {}  # noqa: E731, N815
+
+    class Session:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            tables.ensure_checkpoint_dir(Session(master))
+    assert tables.ensure_checkpoint_dir(Session("local[2]")).startswith("file://")
