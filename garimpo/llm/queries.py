@@ -87,9 +87,7 @@ def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "chunks")
-    stored = chunks.groupBy("chunk_id").agg(F.max("n_tokens").alias("n_tokens"))
-    rows = token_budget.token_counts(chunks, "chunk_id", "text").join(stored, "chunk_id")
+    rows = token_budget.token_counts(table(spark, folder, "chunks"), "chunk_id", "text", keep=("n_tokens",))
     return rows.where((F.col("tokens") > 0) & token_budget.unsound(F.col("n_tokens"), F.col("tokens"))).select("chunk_id")
 
 

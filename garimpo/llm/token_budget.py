@@ -3,12 +3,15 @@
 Texts are cut into pieces by the tokenizer's own pattern.  Per Arrow batch the distinct
 pieces are stored once as arrays of symbols; adjacent symbols are joined with the table
 of merge ranks, in every piece the pair of lowest rank is merged, and this is repeated
-until no pair has a rank.  A text's count is the sum of its pieces' symbol counts.  Long
-pieces (digit strings of tens of thousands) are merged one rank at a time instead.
+until no pair has a rank.  Long pieces (digit strings of tens of thousands) are merged one
+rank at a time instead.  From the same stored pieces come the tokens of the project's own
+pattern: those of each piece, less one where a token runs on from one piece into the next.
+A text's counts are the sums over its pieces.
 
 The merge table is bounded by the vocabulary (some 250,000 pairs for 50,000 symbols)
-and is the only thing that is broadcast.  Pieces recur, so a worker remembers the counts
-of pieces it has met; totals leave each partition already summed.
+and is the only thing that is broadcast.  Pieces recur, so a worker remembers those it has
+met.  Texts are never shuffled: each row is counted where it is read, repeated deliveries
+are put together by their counts, and totals leave each partition already summed.
 """
 
 from __future__ import annotations
@@ -20,11 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import batch
-from garimpo.llm.splitting import SPACE, char_classes, code_points, token_starts
+from garimpo.llm.splitting import LETTER, OTHER, char_classes, code_points, token_starts
 
 #: Fixed value: the pre-split pattern of the public byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,10 +35,6 @@ MEMO = 500_000
 #: Bytes from which a piece is merged rank by rank.
 LONG = 96
 
-COUNT_SQL = "key string, tokens int, bpe_tokens int"
-COUNT = pa.schema([("key", pa.string()), ("tokens", pa.int32()), ("bpe_tokens", pa.int32())])
-
-
 def merge_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte -> symbol, sorted pair keys, merged symbol of each pair); a symbol's number is its rank."""
     with open(path, "rb") as lines:
@@ -148,23 +146,58 @@ def by_piece(pieces: list[bytes], table: tuple[np.ndarray, np.ndarray, np.ndarra
     return result
 
 
-@lru_cache(1)
-def worker_memo(path: str) -> dict:
-    """Counts of the pieces this worker has met, kept over its tasks."""
-    return {}
+class Pieces:
+    """The distinct pieces met: symbols and pattern tokens of each, and how its first and last token may run on."""
 
+    def __init__(self, table):
+        self.table, self.classes = table, char_classes()
+        self.clear()
 
-class PieceCounts:
-    def __init__(self, table, path: str = ""):
-        self.table, self.known = table, worker_memo(path)
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.facts = np.empty((4, 1024), np.int64)
 
-    def learn(self, pieces: set[str]) -> dict:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
+    def learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self.number]
+        if len(self.number) + len(new) > MEMO:
+            self.clear()
             new = list(pieces)
-        self.known.update(zip(new, symbol_counts([p.encode("utf-8", "replace") for p in new], self.table).tolist()))
-        return self.known
+        if not new:
+            return
+        known = len(self.number)
+        self.number.update(zip(new, range(known, known + len(new))))
+        if known + len(new) > self.facts.shape[1]:
+            self.facts = np.concatenate((self.facts, np.empty((4, known + 2 * len(new)), np.int64)), axis=1)
+        # a blank after each piece keeps its tokens apart
+        points = code_points(" ".join(new) + " ")
+        kind = self.classes[points]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        start = np.cumsum(size + 1) - size - 1
+        begins = np.zeros(len(kind) + 1, np.int64)
+        begins[token_starts(kind) + 1] = 1
+        before = np.cumsum(begins)
+        self.facts[:, known : known + len(new)] = (
+            symbol_counts([p.encode("utf-8", "replace") for p in new], self.table), before[start + size] - before[start], kind[start], kind[start + size - 1],
+        )
+
+    def counts(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, pattern tokens) of texts given by their pieces."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids = np.fromiter((self.number[p] for t in texts for p in t), np.int64, int(size.sum()))
+        symbols, tokens, first, last = self.facts[:, ids]
+        # a token of letters or signs runs on into the next piece (a run of digits is always one piece)
+        on = np.zeros(len(ids), np.int64)
+        on[1:] = (first[1:] == last[:-1]) & ((first[1:] == LETTER) | (first[1:] == OTHER))
+        begin = np.cumsum(size) - size
+        on[begin[size > 0]] = 0
+        total = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[np.concatenate((begin, [len(ids)]))])
+        return total(symbols), total(tokens - on)
+
+
+@lru_cache(1)
+def worker_pieces(path: str) -> list:
+    """Place for the pieces that this worker has met, kept over its tasks."""
+    return []
 
 
 def count(table, path: str):
@@ -172,32 +205,33 @@ def count(table, path: str):
         import regex
 
         split = regex.compile(PIECES).findall
-        memo, classes = PieceCounts(table.value, path), char_classes()
-        seen: set[str] = set()
+        held = worker_pieces(path)
+        if not held:
+            held.append(Pieces(table.value))
+        pieces: Pieces = held[0]
         for rows in batches:
             for s in range(0, rows.num_rows, 1000):
-                keys, tokens, cut = [], [], []
-                for key, text in zip(rows.column(0).slice(s, 1000).to_pylist(), rows.column(1).slice(s, 1000).to_pylist()):
-                    if key is None or key in seen:  # rows of one key share a partition
-                        continue
-                    seen.add(key)
-                    keys.append(key)
-                    tokens.append(len(token_starts(classes[code_points(text)])) if text else 0)
-                    cut.append(split(text) if text else [])
-                known = memo.learn({p for c in cut for p in c})
-                yield batch(COUNT, keys, tokens, [sum(map(known.__getitem__, c)) for c in cut])
+                part = rows.slice(s, 1000)
+                cut = [split(t) if t else [] for t in part.column(1).to_pylist()]
+                pieces.learn({p for c in cut for p in c})
+                symbols, tokens = pieces.counts(cut)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), pa.array(symbols), *part.columns[2:]], names=["key", "tokens", "bpe_tokens", *part.schema.names[2:]])
 
     return of
 
 
-def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(key, tokens, bpe_tokens)`` of every distinct key: tokens by the project's pattern and by the vocabulary.
+def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, tokens, bpe_tokens, *keep)`` of every distinct key: tokens by the project's pattern and by the vocabulary.
 
-    Null and empty texts have 0 of both; null keys are left out.  Of repeated keys one row counts.
+    Null and empty texts have 0 of both; null keys are left out.  Of repeated keys the
+    largest value of each column counts.
     """
     table = df.sparkSession.sparkContext.broadcast(merge_table(vocabulary))
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("key is not null").repartition("key")
-    return rows.mapInArrow(count(table, vocabulary), COUNT_SQL).withColumnRenamed("key", key)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    ddl = ", ".join(["key string, tokens long, bpe_tokens long", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))])
+    counted = rows.mapInArrow(count(table, vocabulary), ddl)
+    each = counted.groupBy("key").agg(*(F.max(c).alias(c) for c in counted.columns if c != "key"))
+    return each.select(F.col("key").alias(key), "tokens", "bpe_tokens", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def unsound(stored, tokens, tolerance: float = 0.2):
@@ -207,9 +241,7 @@ def unsound(stored, tokens, tolerance: float = 0.2):
 
 def budget(df: DataFrame, key: str, text: str, stored: str, by: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
     """Totals per combination of ``by``: texts, sound tokens, tokens by the vocabulary, and repaired counts."""
-    counts = token_counts(df, key, text, vocabulary)
-    facts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(stored).alias("stored"), *(F.max(c).alias(c) for c in by))
-    rows = facts.join(counts, key)
+    rows = token_counts(df, key, text, vocabulary, (stored, *by)).withColumnRenamed(stored, "stored")
     bad = unsound(F.col("stored"), F.col("tokens")) & (F.col("tokens") > 0)
     sound = F.when(bad, F.col("tokens")).when(F.col("tokens") == 0, F.lit(0)).otherwise(F.col("stored"))
     return rows.groupBy(*by).agg(

@@ -5,10 +5,12 @@ import os
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from garimpo.llm import leakage, packing, repeated_lines, splitting, token_budget
-from tests.models import TOKEN
+
+TOKEN = regex.compile(r"\p{L}+|\p{N}{1,3}|[^ \t\n\x0b\f\r\p{L}\p{N}]+")
 
 
 def tokens(text):
@@ -84,7 +86,7 @@ def test_counts_equal_the_tokenizer(spark):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("own", pat_str=token_budget.PIECES, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(1)
-    rows = ["", None, " ", "água fria", "1" * 5000, "x" * 3000, "日本語😀", "aaaa bbbb\n\n\n c", "ab" * 300] + ["".join(chr(r.choice([32, 97, 98, 233, 10, 49, 0x4E00])) for _ in range(200)) for _ in range(50)]
+    rows = ["", None, " ", "água fria", "1" * 5000, "x" * 3000, "日本語😀", "aaaa bbbb\n\n\n c", "ab" * 300, "d'água l'sabc 'llá it's's", "\u00a0—\u00a0x \u2003\u2003y", "12345a't6"] + ["".join(chr(r.choice([32, 97, 98, 233, 10, 49, 0x4E00, 39, 115, 116, 0xA0, 45, 0x661])) for _ in range(200)) for _ in range(50)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(rows)] * 2, "id string, body string")
     got = {int(x["id"]): (x["tokens"], x["bpe_tokens"]) for x in token_budget.token_counts(df, "id", "body").collect()}
     assert got == {i: (tokens(t), len(encoding.encode_ordinary(t or ""))) for i, t in enumerate(rows)}
