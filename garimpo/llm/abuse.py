@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from garimpo.llm.common import batch
 from garimpo.llm.linear import Trees, best_threshold, fit_logistic, isotonic
 from garimpo.llm.splitting import LETTER, char_classes, code_points
+from garimpo.plans.tables import bounded
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 TOKEN = re.compile(r"[^\W_]+")
@@ -262,15 +263,17 @@ class Model:
 def train_model(documents: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, lexicon: DataFrame, sample_rows: int = 6000) -> Model:
     """A model from at most about ``sample_rows`` labelled documents, chosen by a hash of the key.
 
+    The whole lexicon is part of the model: it has to be a word list, not a corpus.
     Null labels are left out; of several labels of a document the majority counts, a tie as positive.
     """
     votes = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     total = votes.count()
     share = max(1, min(1_000_000, int(1e6 * sample_rows / max(1, total))))
-    votes = votes.where(F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(1_000_000)) < share)
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and t != ''").join(F.broadcast(votes) if total <= 50_000_000 else votes, "k")
+    # the keys of the sample: their number is bounded by sample_rows, and so is the broadcast
+    votes = bounded(votes.where(F.pmod(F.xxhash64(F.lit(5), "k"), F.lit(1_000_000)) < share), 64)
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null and t != ''").join(votes, "k")
     rows = rows.dropDuplicates(["k"]).orderBy(F.xxhash64("k")).limit(2 * sample_rows).toArrow()
-    terms = lexicon.select("termo", "classe", "peso", F.coalesce("ambiguo", F.lit(True)).alias("ambiguo")).where("termo is not null").orderBy("termo").limit(100_000).collect()
+    terms = lexicon.select("termo", "classe", "peso", F.coalesce("ambiguo", F.lit(True)).alias("ambiguo")).where("termo is not null").orderBy("termo").toLocalIterator()
     return Model().fit(rows["t"].to_pylist(), np.asarray(rows["y"].to_pylist() or [], float), [tuple(r) for r in terms])
 
 
