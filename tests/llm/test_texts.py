@@ -27,6 +27,23 @@ def long_texts():
     return rows | {"digits": "1" * 500, "word": "a" * 500, "late": "ab " + "7" * 301 + " cd" * 40, "empty": "", "null": None, "blank": " \n" * 300}
 
 
+def test_cuts_do_not_depend_on_ranges(spark):
+    rows = long_texts() | {"far": ("ab " * 20 + "\n" * 400 + "cd. " + " " * 300) * 5, "blanks": "x " * 30 + " " * 900 + "\n\n" + "y " * 60}
+    df = spark.createDataFrame(list(rows.items()), "id string, body string")
+    cuts = [sorted((r["id"], r["start"], r["end"]) for r in splitting.split(df, "id", "body", 40, 7, n).collect()) for n in (37, 200, 10_000)]
+    assert cuts[0] == cuts[1] == cuts[2]
+
+
+@pytest.mark.parametrize("range_bytes", [53, 400, 1 << 20])
+def test_files_are_split_like_texts(spark, tmp_path, range_bytes):
+    rows = {k: v for k, v in long_texts().items() if v} | {"wide": "água €5 😀 çã. " * 80 + "\n\n" + "日本語 " * 90, "far": "ab " * 30 + "\n" * 1500 + "ção " * 50}
+    for k, v in rows.items():
+        (tmp_path / f"{k}.txt").write_text(v, newline="")
+    got = sorted((os.path.basename(r["path"])[:-4], r["piece"], r["start"], r["end"], r["n_tokens"], r["text"]) for r in splitting.split_files(spark, str(tmp_path), 40, 7, range_bytes).collect())
+    df = spark.createDataFrame(list(rows.items()), "id string, body string")
+    assert got == sorted((r["id"], r["piece"], r["start"], r["end"], r["n_tokens"], r["body"]) for r in splitting.split(df, "id", "body", 40, 7).collect())
+
+
 @pytest.mark.parametrize("range_chars", [37, 64, 1000])
 def test_pieces(spark, range_chars):
     rows = long_texts()
@@ -63,6 +80,7 @@ def test_one_of_the_texts_of_a_repeated_key(spark):
 
 
 def test_whole_texts_are_not_joined(spark):
+    """Only ranges meet the cuts; the texts themselves are cut up where they are read."""
     df = spark.createDataFrame([("a", "ab " * 200, "s")], "id string, body string, section string")
     nodes, joins = [splitting.split(df, "id", "body", 40, 7, 64, keep=("section",))._jdf.queryExecution().optimizedPlan()], 0
     while nodes:
