@@ -272,17 +272,22 @@ def file_range(path: str, length: int, begin: int, end: int) -> tuple[int, int,
     return len(body), len(left), left + body + right
 
 
-def cut_table(ranges: DataFrame, limit: int, overlap: int) -> tuple[DataFrame, DataFrame]:
-    """(what the ranges found, the pieces as token numbers with the ranges that hold their ends)."""
+def cut_table(ranges: DataFrame, limit: int, overlap: int, range_chars: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(what the ranges found, the pieces as token numbers with the ranges that hold their ends).
+
+    A first range of fewer than ``range_chars`` characters is a whole text; with no more
+    tokens than the limit it isn't stitched.
+    """
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half of limit")
     table = cut(ranges.mapInArrow(scan, RANGE_SQL))
-    return table, cut(table.drop("starts").groupBy("key").applyInArrow(stitch(limit, overlap), CUT_SQL))
+    short = (F.col("number") == 0) & (F.col("chars") < range_chars) & (F.col("tokens") <= limit)
+    return table, cut(table.where(~short).drop("starts").groupBy("key").applyInArrow(stitch(limit, overlap), CUT_SQL))
 
 
-def pieces_of(ranges: DataFrame, limit: int, overlap: int) -> DataFrame:
+def pieces_of(ranges: DataFrame, limit: int, overlap: int, range_chars: int = 0) -> DataFrame:
     """``(key, version, piece, pieces, start, end, n_tokens, text)`` from ranges."""
-    table, cuts = cut_table(ranges, limit, overlap)
+    table, cuts = cut_table(ranges, limit, overlap, range_chars)
     sides = cuts.select("key", "version", "piece", F.explode(F.array(
         F.struct(F.lit("first").alias("side"), F.col("range_first").alias("number"), F.col("at_first").alias("at"), F.col("direct_first").alias("direct")),
         F.struct(F.lit("last").alias("side"), F.col("range_last").alias("number"), F.col("at_last").alias("at"), F.col("direct_last").alias("direct")),
@@ -317,7 +322,7 @@ def split(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int =
     texts and keys have no piece.
     """
     long = long_texts(df, key, text, limit)
-    rows = pieces_of(text_ranges(long, key, text, range_chars), limit, overlap)
+    rows = pieces_of(text_ranges(long, key, text, range_chars), limit, overlap, range_chars)
     rows = rows.select(F.col("key").alias("_key"), F.col("version").alias("_version"), "piece", "pieces", "start", "end", "n_tokens", F.col("text").alias("_text"))
     out = [F.col("_key").alias(key), *(F.col(c) for c in ("piece", "pieces", "start", "end", "n_tokens")), F.col("_text").alias(text)]
     if not keep:
@@ -334,5 +339,5 @@ def split_files(spark: SparkSession, folder: str, limit: int = 1024, overlap: in
 
 def oversized(df: DataFrame, key: str, text: str, limit: int = 1024, overlap: int = 64, range_chars: int = 32_768) -> DataFrame:
     """Keys of the texts that must be split: those for which cuts were chosen."""
-    cuts = cut_table(text_ranges(long_texts(df, key, text, limit), key, text, range_chars), limit, overlap)[1]
+    cuts = cut_table(text_ranges(long_texts(df, key, text, limit), key, text, range_chars), limit, overlap, range_chars)[1]
     return cuts.where("piece = 0").select(F.col("key").alias(key)).distinct()
