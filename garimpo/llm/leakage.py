@@ -1,20 +1,25 @@
 """Passages of held-out test items inside a training corpus.
 
-The test items are indexed as a BM25 inverted index in blocks of items; per term a block
-knows the largest weight it gives (block-max).  Every passage of every document is a
-query.  A document's words that no item knows cut it into stretches, as no run of item
-words can cross them; stretches of at least ``run`` words are cut into passages that
-overlap by ``run - 1`` words, so every run lies whole in some passage.
+The test items are indexed as a BM25 inverted index: per term a posting list of items
+with their weights, and a shorter list of the blocks of items with the largest weight in
+each (block-max).  Every passage of every document is a query.  A document's words that
+no item knows cut it into stretches, as no run of item words can cross them; stretches of
+at least ``run`` words are cut into passages that overlap by ``run - 1`` words, so every
+run lies whole in some passage.
 
 The threshold loses nothing.  An item's BM25 weights don't depend on the query, so a
-passage that holds ``run`` consecutive words of item i scores at least
-``theta_i``, the smallest sum of the weights of the distinct words of any such run of i.
-As in block-max WAND a block is opened only if its upper bound reaches the lowest
-threshold in it, and an item is a candidate if its score reaches its own.  Candidates
-are then verified on the words themselves.
-
-The index is broadcast in slices of at most ``slice_items`` items of bounded length; a
-larger test collection takes more passes over the corpus.
+passage that holds ``run`` consecutive words of item i scores at least ``theta_i``, the
+smallest sum of the weights of the distinct words of any such run of i.  As in block-max
+WAND, a passage's terms are ordered by their largest weight; those that together stay
+below the lowest threshold can't make a candidate alone, so only the lists of the others
+are walked.  A block so met is opened only if its bound, the sum of its own maxima, reaches
+the lowest threshold in it, and an item is a candidate if its score reaches its own.
+Candidates are then verified on the words themselves.  Lists are walked for thousands of
+passages at once, as arrays.
+
+The index is cut into slices of at most ``slice_bytes``, measured, each a broadcast; a pass
+over the corpus asks all slices of up to ``pass_bytes``.  Items of more than ``segment``
+words are indexed in segments that overlap by ``run - 1`` words.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garimpo.llm.common import WORD, batch, lower, runs, shingles
+from garimpo.llm.common import WORD, batch, lower, shingles
+from garimpo.plans.tables import cut
 
 K1, B = 1.2, 0.75
 FOUND_SQL = "doc string, item string, run int"
@@ -56,46 +62,66 @@ class Terms(dict):
 
 
 class Index:
-    """BM25 weights of the items by term, in blocks, with thresholds and the hashes of all runs."""
+    """Posting lists and block lists of the items' segments, with thresholds and the segments' words."""
 
-    def __init__(self, items: list[tuple[str, str]], run: int, block: int = 12):
+    def __init__(self, items: list[tuple[str, str]], run: int, block: int = 12, segment: int = 512):
         words = [(key, plain_words(text or "")) for key, text in items]
-        words = sorted((w for w in words if len(w[1]) >= run), key=lambda w: (len(w[1]), w[0]))
-        self.run, self.keys = run, [key for key, _ in words]
+        step = segment - run + 1
+        parts = [(key, w[s : s + segment]) for key, w in words for s in range(0, max(1, len(w) - run + 1), step)]
+        parts = sorted((p for p in parts if len(p[1]) >= run), key=lambda p: (len(p[1]), p[0]))
+        self.run, self.block, self.keys = run, block, [key for key, _ in parts]
         self.terms = Terms()
-        for _, w in words:
+        for _, w in parts:
             for t in w:
                 self.terms.setdefault(t, len(self.terms))
-        n, size = len(words), max(1, len(self.terms))
-        weight = np.zeros((size, max(1, n)), np.float32)
-        length = np.array([len(w) for _, w in words] or [1], float)
-        ids = [np.array([self.terms[t] for t in w], np.int64) for _, w in words]
-        for i, d in enumerate(ids):
-            t, c = np.unique(d, return_counts=True)
-            weight[t, i] = c * (K1 + 1) / (c + K1 * (1 - B + B * length[i] / length.mean()))
-        known = (weight > 0).sum(axis=1)
-        weight *= np.log(1 + (n - known + 0.5) / (known + 0.5)).astype(np.float32)[:, None]
-        self.weight = weight
+        n, size = len(parts), max(1, len(self.terms))
+        self.base = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.words = [np.array([self.terms[t] for t in w], np.int32) for _, w in parts]
+        length = np.array([len(w) for w in self.words] or [1], float)
+        # posting lists: sorted by term, then segment
+        pair, count = np.unique(np.concatenate([w.astype(np.int64) * max(1, n) + i for i, w in enumerate(self.words)] or [np.empty(0, np.int64)]), return_counts=True)
+        term, item = pair // max(1, n), pair % max(1, n)
+        known = np.bincount(term, minlength=size)
+        idf = np.log(1 + (n - known + 0.5) / (known + 0.5))
+        self.weight = (count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / length.mean())) * idf[term]).astype(np.float32)
+        self.item = item.astype(np.int32)
+        self.start = np.concatenate(([0], np.cumsum(known)))
+        # block lists: the largest weight of each block
+        self.blocks = max(1, -(-n // block))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(term * self.blocks + item // block) > 0))) if len(pair) else np.empty(0, np.int64)
+        self.cell = (term * self.blocks + item // block)[first]
+        self.upper = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, np.float32)
+        self.block_start = np.searchsorted(self.cell, np.arange(size + 1) * self.blocks)
+        self.most = np.zeros(size, np.float32)
+        np.maximum.at(self.most, self.cell // self.blocks, self.upper)
         self.theta = np.full(max(1, n), np.inf, np.float32)
-        hashes, owner = [], []
-        base = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        self.base = base
-        for i, d in enumerate(ids):
+        for i, d in enumerate(self.words):
             windows = np.lib.stride_tricks.sliding_window_view(d, run)
             ordered = np.sort(windows, axis=1)
-            first = np.concatenate((np.ones((len(ordered), 1), bool), np.diff(ordered, axis=1) > 0), axis=1)
-            self.theta[i] = (weight[ordered, i] * first).sum(axis=1).min() * (1 - 1e-5)
-            own = np.unique(shingles(base[d], run))
-            hashes.append(own)
-            owner.append(np.full(len(own), i))
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
-        order = np.lexsort((owner, hashes))
-        self.hashes, self.owner = hashes[order], owner[order]
-        self.edges = np.arange(0, max(1, n), block)
-        self.upper = np.maximum.reduceat(weight, self.edges, axis=1)
-        self.lowest = np.minimum.reduceat(self.theta, self.edges)
-        self.block = block
+            distinct = np.concatenate((np.ones((len(ordered), 1), bool), np.diff(ordered, axis=1) > 0), axis=1)
+            own = np.unique(d).astype(np.int64)
+            w = self.weight[np.searchsorted(pair, own * n + i)]
+            self.theta[i] = (w[np.searchsorted(own, ordered)] * distinct).sum(axis=1).min() * (1 - 1e-5)
+        self.lowest = np.minimum.reduceat(self.theta, np.arange(0, max(1, n), block))
+        self.least = float(self.theta.min())
+        self.runs: dict[int, np.ndarray] = {}
+
+    def nbytes(self) -> int:
+        arrays = (self.base, self.weight, self.item, self.start, self.cell, self.upper, self.block_start, self.most, self.theta, *self.words)
+        return sum(a.nbytes for a in arrays) + sum(len(t) + 60 for t in self.terms) + sum(len(k) + 60 for k in self.keys)
+
+    def runs_of(self, i: int) -> np.ndarray:
+        """Hashes of the runs of a segment; remembered while they are few."""
+        if i not in self.runs:
+            if len(self.runs) > 20_000:
+                self.runs.clear()
+            self.runs[i] = np.unique(shingles(self.base[self.words[i]], self.run))
+        return self.runs[i]
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + size), one after another."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def passages(at: np.ndarray, run: int, width: int) -> list[tuple[int, int]]:
@@ -112,106 +138,155 @@ def passages(at: np.ndarray, run: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def search(index, width: int):
+def search(indexes: list, width: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
-        number, run = ix.terms.__getitem__, ix.run
         for rows in batches:
             for begin in range(0, rows.num_rows, 2000):
                 docs = rows.column(0).slice(begin, 2000).to_pylist()
-                texts = rows.column(1).slice(begin, 2000).to_pylist()
-                owner, queries = [], []
-                for i, text in enumerate(texts):
-                    if not text or docs[i] is None:
-                        continue
-                    words = plain_words(text)
-                    if len(words) < run:
-                        continue
-                    at = np.fromiter(map(number, words), np.int64, len(words))
-                    for s, e in passages(at, run, width):
-                        owner.append(i)
-                        queries.append(at[s:e])
-                if not queries:
-                    continue
-                found = candidates(ix, queries)
-                hits = verified(ix, queries, found, owner)
-                if hits:
-                    yield batch(FOUND, [docs[d] for d, _ in hits], [ix.keys[i] for _, i in hits], list(hits.values()))
+                texts = [(i, plain_words(text)) for i, text in enumerate(rows.column(1).slice(begin, 2000).to_pylist()) if text and docs[i] is not None]
+                for shared in indexes:
+                    ix: Index = shared.value
+                    number = ix.terms.__getitem__
+                    owner, queries = [], []
+                    for i, words in texts:
+                        if len(words) < ix.run:
+                            continue
+                        at = np.fromiter(map(number, words), np.int32, len(words))
+                        for s, e in passages(at, ix.run, width):
+                            owner.append(i)
+                            queries.append(at[s:e])
+                    hits = verified(ix, queries, candidates(ix, queries), owner)
+                    if hits:
+                        yield batch(FOUND, [docs[d] for d, _ in hits], [i for _, i in hits], [len(h) for h in hits.values()])
 
     return of
 
 
-def verified(ix: Index, queries: list[np.ndarray], found: list[tuple[int, int]], owner: list[int]) -> dict[tuple[int, int], int]:
-    """(document, item) -> shared runs, of the candidates that share at least one."""
-    hits: dict[tuple[int, int], int] = {}
-    if not found:
-        return hits
-    wanted = set(found)
-    which = sorted({q for q, _ in found})
-    size = np.array([len(queries[q]) for q in which])
-    h = shingles(ix.base[np.concatenate([queries[q] for q in which])], ix.run)
-    end = np.cumsum(size)
-    query = np.repeat(np.arange(len(which)), size)[: len(h)]
-    inside = np.arange(len(h)) + ix.run <= end[query]
-    low = np.searchsorted(ix.hashes, h)
-    same = np.flatnonzero(inside & (low < len(ix.hashes)) & (ix.hashes[np.minimum(low, len(ix.hashes) - 1)] == h))
-    seen = set()
-    for i in same.tolist():
-        q, at = which[query[i]], int(low[i])
-        while at < len(ix.hashes) and ix.hashes[at] == h[i]:
-            item = int(ix.owner[at])
-            key = (owner[q], item, int(h[i]))
-            if (q, item) in wanted and key not in seen:
-                seen.add(key)
-                hits[owner[q], item] = hits.get((owner[q], item), 0) + 1
-            at += 1
+def verified(ix: Index, queries: list[np.ndarray], found: list[tuple[int, int]], owner: list[int]) -> dict[tuple[int, str], set[int]]:
+    """(document, item) -> hashes of the shared runs, of the candidates that share at least one."""
+    hits: dict[tuple[int, str], set[int]] = {}
+    own: dict[int, np.ndarray] = {}
+    for q, i in found:
+        if q not in own:
+            own[q] = shingles(ix.base[queries[q]], ix.run)
+        shared = np.intersect1d(own[q], ix.runs_of(i))
+        if len(shared):
+            hits.setdefault((owner[q], ix.keys[i]), set()).update(shared.tolist())
     return hits
 
 
-def candidates(ix: Index, queries: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(query, item) whose score reaches the item's threshold; blocks below theirs stay closed."""
-    out = []
-    for s in range(0, len(queries), 4000):
-        distinct = [np.unique(q) for q in queries[s : s + 4000]]
-        start = np.concatenate(([0], np.cumsum([len(d) for d in distinct])))
-        flat = np.concatenate(distinct)
-        bound = np.add.reduceat(ix.upper[flat], start[:-1], axis=0)
-        query, block = np.nonzero(bound >= ix.lowest)
-        order = np.argsort(block, kind="stable")
-        query, block = query[order], block[order]
-        for a, n in zip(*runs(block)):
-            items = slice(int(ix.edges[block[a]]), int(ix.edges[block[a]]) + ix.block)
-            for part in np.array_split(query[a : a + n], max(1, n // 2000)):
-                if not len(part):
-                    continue
-                size = start[part + 1] - start[part]
-                cell = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                score = np.add.reduceat(ix.weight[flat[cell], items], np.cumsum(size) - size, axis=0)
-                q, i = np.nonzero(score >= ix.theta[items])
-                out.extend(zip((part[q] + s).tolist(), (i + items.start).tolist()))
+def candidates(ix: Index, queries: list[np.ndarray], room: int = 2_000_000) -> list[tuple[int, int]]:
+    """(query, segment) whose score reaches the segment's threshold; ``room`` postings are walked at once."""
+    if not queries or not len(ix.cell):
+        return []
+    size = np.fromiter(map(len, queries), np.int64, len(queries))
+    pair = np.unique(np.repeat(np.arange(len(queries), dtype=np.int64), size) << 32 | np.concatenate(queries).astype(np.int64))
+    query, term = pair >> 32, pair & 0xFFFFFFFF
+    # the terms that together stay below the lowest threshold come last and are not walked
+    order = np.lexsort((ix.most[term], query))
+    query, term = query[order], term[order]
+    begin = np.searchsorted(query, np.arange(len(queries) + 1))
+    most = np.concatenate(([0.0], np.cumsum(ix.most[term].astype(float))))
+    essential = most[1:] - most[begin[query]] >= ix.least * (1 - 1e-6)
+    lists = np.where(essential, ix.block_start[term + 1] - ix.block_start[term], 0)
+    walked = np.concatenate(([0], np.cumsum(lists)))[begin]
+    edges = np.unique(np.concatenate((np.searchsorted(walked, np.arange(0, walked[-1] + 1, room)), [len(queries)])))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b > a:
+            out += opened(ix, query, term, essential, begin, a, b)
     return out
 
 
+def opened(ix: Index, query: np.ndarray, term: np.ndarray, essential: np.ndarray, begin: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+    """Candidates of the queries [a, b)."""
+    at = np.arange(begin[a], begin[b])
+    lead = at[essential[at]]
+    size = ix.block_start[term[lead] + 1] - ix.block_start[term[lead]]
+    posting = spans(ix.block_start[term[lead]], size)
+    met, inverse = np.unique(np.repeat(query[lead], size) * ix.blocks + ix.cell[posting] % ix.blocks, return_inverse=True)
+    if not len(met):
+        return []
+    bound = np.bincount(inverse, ix.upper[posting], len(met))
+    who, block = met // ix.blocks, met % ix.blocks
+    # the other terms: first by their largest weights, then by those in the block
+    rest = at[~essential[at]]
+    others = np.bincount(query[rest] - a, ix.most[term[rest]], b - a)
+    keep = bound + others[who - a] >= ix.lowest[block] * (1 - 1e-6)
+    who, block, bound = who[keep], block[keep], bound[keep]
+    first = np.searchsorted(query[rest], who)
+    size = np.searchsorted(query[rest], who, "right") - first
+    which = np.repeat(np.arange(len(who)), size)
+    cell = term[rest[spans(first, size)]] * ix.blocks + block[which]
+    place = np.minimum(np.searchsorted(ix.cell, cell), len(ix.cell) - 1)
+    bound += np.bincount(which, np.where(ix.cell[place] == cell, ix.upper[place], 0), len(who))
+    keep = bound >= ix.lowest[block] * (1 - 1e-6)
+    who, block = who[keep], block[keep]
+    # the postings of every term inside the opened blocks
+    size = begin[who + 1] - begin[who]
+    which = np.repeat(np.arange(len(who)), size)
+    terms = term[spans(begin[who], size)]
+    low, high = postings_within(ix, terms, block[which] * ix.block, ix.block)
+    posting = spans(low, high - low)
+    cell = np.repeat(which, high - low) * ix.block + ix.item[posting] - np.repeat(block[which] * ix.block, high - low)
+    score = np.bincount(cell, ix.weight[posting], len(who) * ix.block).reshape(len(who), ix.block)
+    theta = np.full(len(ix.lowest) * ix.block, np.inf)
+    theta[: len(ix.theta)] = ix.theta
+    q, i = np.nonzero(score >= theta.reshape(-1, ix.block)[block] * (1 - 1e-6))
+    return list(zip(who[q].tolist(), (block[q] * ix.block + i).tolist()))
+
+
+def postings_within(ix: Index, terms: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """[low, high) of each term's postings of the segments [first, first + width), by bisection of all lists at once."""
+
+    def bisect(wanted: np.ndarray) -> np.ndarray:
+        low, high = ix.start[terms].copy(), ix.start[terms + 1].copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            less = open_ & (ix.item[np.minimum(middle, len(ix.item) - 1)] < wanted)
+            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        return low
+
+    return bisect(first), bisect(first + width)
+
+
 def leaks(
-    corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = 12, width: int = 64, slice_items: int = 2000,
+    corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, run: int = 12, width: int = 64, slice_bytes: int = 64 << 20, pass_bytes: int = 256 << 20,
 ) -> DataFrame:
     """``(key, item_key, runs)``: pairs that share at least one run of ``run`` consecutive words.
 
     ``runs`` is the number of distinct shared runs.
     Texts of fewer words, null texts and null keys have no pair.  Repeated rows of a
-    document or an item don't repeat a pair.
+    document or an item don't repeat a pair.  The items are read slice by slice on the
+    driver; a slice that is measured larger than ``slice_bytes`` is halved.
     """
     spark = corpus.sparkSession
     rows = corpus.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
     known = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text"))
-    known = known.groupBy("item").agg(F.min("text").alias("text"))
-    parts = max(1, -(-known.count() // slice_items))
-    out = None
+    known = cut(known.groupBy("item").agg(F.min("text").alias("text")))
+    size = known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size * 8 // slice_bytes))  # some 5 bytes of index a character
+    out, held, held_bytes = None, [], 0
+
+    def passed() -> None:
+        nonlocal out, held, held_bytes
+        found = rows.mapInArrow(search(held, width), FOUND_SQL)
+        out, held, held_bytes = found if out is None else out.unionByName(found), [], 0
+
     for part in range(parts):
         own = known.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part) if parts > 1 else known
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in own.toLocalIterator()], run))
-        found = rows.mapInArrow(search(index, width), FOUND_SQL)
-        out = found if out is None else out.unionByName(found)
+        waiting = [[(r["item"], r["text"]) for r in own.toLocalIterator()]]
+        while waiting:
+            some = waiting.pop()
+            index = Index(some, run)
+            if (measured := index.nbytes()) > slice_bytes and len(some) > 1:
+                waiting += [some[: len(some) // 2], some[len(some) // 2 :]]
+                continue
+            if held and held_bytes + measured > pass_bytes:
+                passed()
+            held.append(spark.sparkContext.broadcast(index))
+            held_bytes += measured
+    passed()
     pairs = out.groupBy("doc", "item").agg(F.max("run").alias("runs"))
     return pairs.select(F.col("doc").cast(corpus.schema[key].dataType).alias(key), F.col("item").cast(items.schema[item_key].dataType).alias(item_key), "runs")
 

@@ -4,6 +4,7 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -202,8 +203,17 @@ def test_leaks(spark, seed):
     docs += [(500, None), (501, ""), (None, docs[0][1]), docs[3]]
     a = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     b = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
-    for slices in (2000, 7):
-        got = {(x["doc_id"], x["item_id"]) for x in leakage.leaks(a.select("doc_id", "text"), "doc_id", "text", b, "item_id", "text", width=30, slice_items=slices).collect()}
+    for slices, passed in ((64 << 20, 64 << 20), (12_000, 30_000)):
+        got = {(x["doc_id"], x["item_id"]) for x in leakage.leaks(a.select("doc_id", "text"), "doc_id", "text", b, "item_id", "text", width=30, slice_bytes=slices, pass_bytes=passed).collect()}
         assert got == brute_leaks(docs, items, 12) and got
+    parts = leakage.Index([(str(k), t) for k, t in items], 12, block=3, segment=25)
+    assert max(map(len, parts.words)) <= 25
+    found = {}
+    for k, t in docs:
+        if k is not None and t:
+            n = [parts.terms[w] for w in leakage.plain_words(t)]
+            q = [np.array(n[s:e], np.int32) for s, e in leakage.passages(np.array(n), 12, 30)]
+            found |= leakage.verified(parts, q, leakage.candidates(parts, q, room=50), [k] * len(q))
+    assert {(d, int(i)) for d, i in found} == brute_leaks(docs, items, 12)
     assert leakage.leaks(a.limit(0), "doc_id", "text", b, "item_id", "text").count() == 0
     assert leakage.leaks(a, "doc_id", "text", b.limit(0), "item_id", "text").count() == 0
