@@ -2,8 +2,8 @@
 
 The test items are indexed as a BM25 inverted index: per term a posting list of items
 with their weights, and a shorter list of the blocks of items with the largest weight in
-each (block-max).  Every passage of every document is a query.  A document's words that
-no item knows cut it into stretches, as no run of item words can cross them; stretches of
+each (block-max).  Every passage of every document is a query.  Pairs of neighbouring words that no item has cut a
+document into stretches, as no run of an item's words can cross them; stretches of
 at least ``run`` words are cut into passages that overlap by ``run - 1`` words, so every
 run lies whole in some passage.
 
@@ -91,6 +91,7 @@ class Index:
         first = np.flatnonzero(np.concatenate(([True], np.diff(term * self.blocks + item // block) > 0))) if len(pair) else np.empty(0, np.int64)
         self.cell = (term * self.blocks + item // block)[first]
         self.upper = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0, np.float32)
+        self.cell_start = np.append(first, len(pair))  # a cell's postings stand together
         self.block_start = np.searchsorted(self.cell, np.arange(size + 1) * self.blocks)
         self.most = np.zeros(size, np.float32)
         np.maximum.at(self.most, self.cell // self.blocks, self.upper)
@@ -104,12 +105,21 @@ class Index:
             self.theta[i] = (w[np.searchsorted(own, ordered)] * distinct).sum(axis=1).min() * (1 - 1e-5)
         self.lowest = np.minimum.reduceat(self.theta, np.arange(0, max(1, n), block))
         self.least = float(self.theta.min())
+        self.pairs = np.unique(np.concatenate([w[:-1].astype(np.int64) * size + w[1:] for w in self.words] or [np.empty(0, np.int64)]))
         self.runs: dict[int, np.ndarray] = {}
 
     def nbytes(self) -> int:
-        arrays = (self.base, self.weight, self.item, self.start, self.cell, self.upper, self.block_start, self.most, self.theta, *self.words)
+        arrays = (self.base, self.pairs, self.weight, self.item, self.start, self.cell, self.upper, self.cell_start, self.block_start, self.most, self.theta, *self.words)
         return sum(a.nbytes for a in arrays) + sum(len(t) + 60 for t in self.terms) + sum(len(k) + 60 for k in self.keys)
 
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        """Whether some item has the words i and i + 1 of an array of term numbers (-1: a word of no item) as neighbours."""
+        out = (at[:-1] >= 0) & (at[1:] >= 0)
+        pair = at[:-1][out].astype(np.int64) * len(self.base) + at[1:][out]
+        if len(self.pairs):
+            out[out] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        return out
+
     def runs_of(self, i: int) -> np.ndarray:
         """Hashes of the runs of a segment; remembered while they are few."""
         if i not in self.runs:
@@ -124,17 +134,17 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def passages(at: np.ndarray, run: int, width: int) -> list[tuple[int, int]]:
-    """[start, end) of the passages of an array of term numbers (-1: a word of no item)."""
-    known = at >= 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], known, [False])).astype(np.int8)))
+def passages(joined: np.ndarray, run: int, width: int) -> list[tuple[int, int]]:
+    """[start, end) of the passages of a text, given which of its neighbouring words may stand in one run."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], joined, [False])).astype(np.int8)))
+    start, end = edge[::2], edge[1::2] + 1
+    long = end - start >= run
     out = []
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if e - s >= run:
-            while e - s > width:
-                out.append((s, s + width))
-                s += width - run + 1
-            out.append((s, e))
+    for s, e in zip(start[long].tolist(), end[long].tolist()):
+        while e - s > width:
+            out.append((s, s + width))
+            s += width - run + 1
+        out.append((s, e))
     return out
 
 
@@ -147,14 +157,11 @@ def search(indexes: list, width: int):
                 for shared in indexes:
                     ix: Index = shared.value
                     number = ix.terms.__getitem__
-                    owner, queries = [], []
-                    for i, words in texts:
-                        if len(words) < ix.run:
-                            continue
-                        at = np.fromiter(map(number, words), np.int32, len(words))
-                        for s, e in passages(at, ix.run, width):
-                            owner.append(i)
-                            queries.append(at[s:e])
+                    size = np.fromiter((len(w) + 1 for _, w in texts), np.int64, len(texts))
+                    at = np.fromiter((n for _, w in texts for n in (*map(number, w), -1)), np.int32, int(size.sum()))
+                    found = passages(ix.joined(at), ix.run, width)
+                    text = np.searchsorted(np.cumsum(size), [s for s, _ in found], "right")
+                    owner, queries = [texts[t][0] for t in text], [at[s:e] for s, e in found]
                     hits = verified(ix, queries, candidates(ix, queries), owner)
                     if hits:
                         yield batch(FOUND, [docs[d] for d, _ in hits], [i for _, i in hits], [len(h) for h in hits.values()])
@@ -162,92 +169,92 @@ def search(indexes: list, width: int):
     return of
 
 
-def verified(ix: Index, queries: list[np.ndarray], found: list[tuple[int, int]], owner: list[int]) -> dict[tuple[int, str], set[int]]:
+def verified(ix: Index, queries: list[np.ndarray], found: tuple[np.ndarray, np.ndarray], owner: list[int]) -> dict[tuple[int, str], set[int]]:
     """(document, item) -> hashes of the shared runs, of the candidates that share at least one."""
     hits: dict[tuple[int, str], set[int]] = {}
-    own: dict[int, np.ndarray] = {}
-    for q, i in found:
-        if q not in own:
-            own[q] = shingles(ix.base[queries[q]], ix.run)
-        shared = np.intersect1d(own[q], ix.runs_of(i))
+    query, item = found
+    if not len(query):
+        return hits
+    which, place = np.unique(query, return_inverse=True)
+    size = np.fromiter((len(queries[q]) for q in which), np.int64, len(which))
+    h = shingles(ix.base[np.concatenate([queries[q] for q in which])], ix.run)
+    end = np.cumsum(size)
+    of = np.repeat(np.arange(len(which)), size)[: len(h)]
+    # most candidates have no run of any candidate's item
+    known = np.unique(np.concatenate([ix.runs_of(i) for i in np.unique(item).tolist()]))
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    same = np.flatnonzero((known[at] == h) & (np.arange(len(h)) + ix.run <= end[of]))
+    begin = np.searchsorted(of[same], np.arange(len(which) + 1))
+    for k in np.flatnonzero(np.diff(begin)[place]).tolist():
+        q, i = place[k], int(item[k])
+        shared = np.intersect1d(h[same[begin[q] : begin[q + 1]]], ix.runs_of(i))
         if len(shared):
-            hits.setdefault((owner[q], ix.keys[i]), set()).update(shared.tolist())
+            hits.setdefault((owner[query[k]], ix.keys[i]), set()).update(shared.tolist())
     return hits
 
 
-def candidates(ix: Index, queries: list[np.ndarray], room: int = 2_000_000) -> list[tuple[int, int]]:
-    """(query, segment) whose score reaches the segment's threshold; ``room`` postings are walked at once."""
+def candidates(ix: Index, queries: list[np.ndarray], room: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(query, segment) whose score reaches the segment's threshold; as many queries at once as ``room`` cells of (query, block) hold."""
+    none = np.empty(0, np.int64)
     if not queries or not len(ix.cell):
-        return []
-    size = np.fromiter(map(len, queries), np.int64, len(queries))
-    pair = np.unique(np.repeat(np.arange(len(queries), dtype=np.int64), size) << 32 | np.concatenate(queries).astype(np.int64))
-    query, term = pair >> 32, pair & 0xFFFFFFFF
-    # the terms that together stay below the lowest threshold come last and are not walked
-    order = np.lexsort((ix.most[term], query))
-    query, term = query[order], term[order]
-    begin = np.searchsorted(query, np.arange(len(queries) + 1))
-    most = np.concatenate(([0.0], np.cumsum(ix.most[term].astype(float))))
-    essential = most[1:] - most[begin[query]] >= ix.least * (1 - 1e-6)
-    lists = np.where(essential, ix.block_start[term + 1] - ix.block_start[term], 0)
-    walked = np.concatenate(([0], np.cumsum(lists)))[begin]
-    edges = np.unique(np.concatenate((np.searchsorted(walked, np.arange(0, walked[-1] + 1, room)), [len(queries)])))
-    out: list[tuple[int, int]] = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b > a:
-            out += opened(ix, query, term, essential, begin, a, b)
-    return out
+        return none, none
+    step = max(1, room // ix.blocks)
+    out = [opened(ix, queries[s : s + step], s) for s in range(0, len(queries), step)]
+    return np.concatenate([q for q, _ in out]), np.concatenate([i for _, i in out])
 
 
-def opened(ix: Index, query: np.ndarray, term: np.ndarray, essential: np.ndarray, begin: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
-    """Candidates of the queries [a, b)."""
-    at = np.arange(begin[a], begin[b])
-    lead = at[essential[at]]
-    size = ix.block_start[term[lead] + 1] - ix.block_start[term[lead]]
-    posting = spans(ix.block_start[term[lead]], size)
-    met, inverse = np.unique(np.repeat(query[lead], size) * ix.blocks + ix.cell[posting] % ix.blocks, return_inverse=True)
-    if not len(met):
-        return []
-    bound = np.bincount(inverse, ix.upper[posting], len(met))
-    who, block = met // ix.blocks, met % ix.blocks
-    # the other terms: first by their largest weights, then by those in the block
-    rest = at[~essential[at]]
-    others = np.bincount(query[rest] - a, ix.most[term[rest]], b - a)
-    keep = bound + others[who - a] >= ix.lowest[block] * (1 - 1e-6)
-    who, block, bound = who[keep], block[keep], bound[keep]
-    first = np.searchsorted(query[rest], who)
-    size = np.searchsorted(query[rest], who, "right") - first
-    which = np.repeat(np.arange(len(who)), size)
-    cell = term[rest[spans(first, size)]] * ix.blocks + block[which]
-    place = np.minimum(np.searchsorted(ix.cell, cell), len(ix.cell) - 1)
-    bound += np.bincount(which, np.where(ix.cell[place] == cell, ix.upper[place], 0), len(who))
-    keep = bound >= ix.lowest[block] * (1 - 1e-6)
-    who, block = who[keep], block[keep]
+def opened(ix: Index, queries: list[np.ndarray], number: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of some queries, the first of which has the given number."""
+    size = np.fromiter(map(len, queries), np.int64, len(queries))
+    terms = len(ix.most)
+    pair = np.unique(np.repeat(np.arange(len(queries), dtype=np.int64) * terms, size) + np.concatenate(queries))
+    query, term = pair // terms, pair % terms
+    # a query's terms that together stay below the lowest threshold come first and aren't walked
+    most = ix.most[term]
+    order = np.lexsort((most, query))
+    query, term, most = query[order], term[order], most[order]
+    begin = np.searchsorted(query, np.arange(len(queries) + 1))
+    total = np.concatenate(([0.0], np.cumsum(most, dtype=float)))
+    walked = total[1:] - total[begin[query]] >= ix.least * (1 - 1e-6)
+
+    def walk(some: np.ndarray, bound: np.ndarray) -> None:
+        long = ix.block_start[term[some] + 1] - ix.block_start[term[some]]
+        posting = spans(ix.block_start[term[some]], long)
+        bound += np.bincount(np.repeat(query[some] * ix.blocks, long) + ix.cell[posting] % ix.blocks, ix.upper[posting], len(bound))
+
+    bound = np.zeros(len(queries) * ix.blocks)
+    walk(np.flatnonzero(walked), bound)
+    rest = np.flatnonzero(~walked)
+    others = np.bincount(query[rest], most[rest], len(queries))
+    met = np.flatnonzero((bound > 0) & (bound + np.repeat(others, ix.blocks) >= np.tile(ix.lowest, len(queries)) * (1 - 1e-6)))
+    first = np.searchsorted(query[rest], np.arange(len(queries) + 1))
+    looked_up = np.diff(first)[met // ix.blocks].sum()
+    if (ix.block_start[term[rest] + 1] - ix.block_start[term[rest]]).sum() <= 8 * looked_up:
+        walk(rest, bound)  # shorter than looking the met blocks up
+        exact = bound[met]
+    else:
+        who = met // ix.blocks
+        which = np.repeat(np.arange(len(met)), np.diff(first)[who])
+        cell = term[rest[spans(first[who], np.diff(first)[who])]] * ix.blocks + met[which] % ix.blocks
+        place = np.minimum(np.searchsorted(ix.cell, cell), len(ix.cell) - 1)
+        exact = bound[met] + np.bincount(which, np.where(ix.cell[place] == cell, ix.upper[place], 0), len(met))
+    met = met[exact >= ix.lowest[met % ix.blocks] * (1 - 1e-6)]
     # the postings of every term inside the opened blocks
-    size = begin[who + 1] - begin[who]
-    which = np.repeat(np.arange(len(who)), size)
-    terms = term[spans(begin[who], size)]
-    low, high = postings_within(ix, terms, block[which] * ix.block, ix.block)
-    posting = spans(low, high - low)
-    cell = np.repeat(which, high - low) * ix.block + ix.item[posting] - np.repeat(block[which] * ix.block, high - low)
-    score = np.bincount(cell, ix.weight[posting], len(who) * ix.block).reshape(len(who), ix.block)
+    who, block = met // ix.blocks, met % ix.blocks
+    size = (begin[1:] - begin[:-1])[who]
+    which = np.repeat(np.arange(len(met)), size)
+    cell = term[spans(begin[who], size)] * ix.blocks + block[which]
+    place = np.searchsorted(ix.cell, cell)
+    there = ix.cell[np.minimum(place, len(ix.cell) - 1)] == cell
+    place, which = place[there], which[there]
+    size = ix.cell_start[place + 1] - ix.cell_start[place]
+    posting = spans(ix.cell_start[place], size)
+    cell = np.repeat((which - block[which]) * ix.block, size) + ix.item[posting]
+    score = np.bincount(cell, ix.weight[posting], len(met) * ix.block).reshape(len(met), ix.block)
     theta = np.full(len(ix.lowest) * ix.block, np.inf)
     theta[: len(ix.theta)] = ix.theta
     q, i = np.nonzero(score >= theta.reshape(-1, ix.block)[block] * (1 - 1e-6))
-    return list(zip(who[q].tolist(), (block[q] * ix.block + i).tolist()))
-
-
-def postings_within(ix: Index, terms: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """[low, high) of each term's postings of the segments [first, first + width), by bisection of all lists at once."""
-
-    def bisect(wanted: np.ndarray) -> np.ndarray:
-        low, high = ix.start[terms].copy(), ix.start[terms + 1].copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            less = open_ & (ix.item[np.minimum(middle, len(ix.item) - 1)] < wanted)
-            low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
-        return low
-
-    return bisect(first), bisect(first + width)
+    return who[q] + number, block[q] * ix.block + i
 
 
 def leaks(

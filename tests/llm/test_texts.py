@@ -212,7 +212,7 @@ def test_leaks(spark, seed):
     for k, t in docs:
         if k is not None and t:
             n = [parts.terms[w] for w in leakage.plain_words(t)]
-            q = [np.array(n[s:e], np.int32) for s, e in leakage.passages(np.array(n), 12, 30)]
+            q = [np.array(n[s:e], np.int32) for s, e in leakage.passages(parts.joined(np.array(n)), 12, 30)]
             found |= leakage.verified(parts, q, leakage.candidates(parts, q, room=50), [k] * len(q))
     assert {(d, int(i)) for d, i in found} == brute_leaks(docs, items, 12)
     assert leakage.leaks(a.limit(0), "doc_id", "text", b, "item_id", "text").count() == 0
