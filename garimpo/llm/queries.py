@@ -69,8 +69,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_templates(spark: SparkSession, folder: str) -> DataFrame:
-    found = repeated_lines.repeated_lines(with_source(spark, folder), "chunk_id", "text", "m_fonte")
-    return found.groupBy(F.col("source").alias("fonte"), "template").agg(F.count_distinct("chunk_id").alias("chunks"), F.count_distinct("line").alias("lines"))
+    """Templates that cover enough chunks of a source, those with word slots too."""
+    found = repeated_lines.repeated_lines(with_source(spark, folder), "chunk_id", "text", "m_fonte", slots=True)
+    return found.groupBy(F.col("source").alias("fonte"), "template").agg(F.max("covers").alias("chunks"), F.count_distinct("line").alias("lines"))
 
 
 def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:

@@ -170,12 +170,30 @@ def test_repeated_lines(spark):
                 where.append((s, n, k, i))
     want = {(k, i) for s, n, k, i in where if len(seen[s, n]) >= 4 and len(seen[s, n]) >= 0.03 * len(size[s])}
     assert got == want and want
+    assert {(x["id"], x["line_no"]) for x in repeated_lines.repeated_lines(df, "id", "body", "source", part_lines=3).collect()} == want
     found = repeated_lines.repeated_lines(df, "id", "body", "source")
     clean = {x["id"]: x for x in repeated_lines.without_lines(df.select("id", "body"), "id", "body", found).collect()}
     assert "Página" not in clean["c001"]["body"] and clean["c001"]["removed"] == len({w for w in want if w[0] == "c001"}) and clean["z"]["body"] is None and len(clean) == 203
     assert repeated_lines.repeated_lines(df.limit(0), "id", "body", "source").count() == 0
 
 
+@pytest.mark.parametrize("part_lines", [4000, 7])
+def test_templates_with_word_slots(spark, part_lines):
+    """A line that is different in a word each time is found by its template, however many distinct lines the leaf has."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows = [(f"c{i:03d}", f"Compartilhe esta página com {word()} e receba novidades\n{' '.join(word() for _ in range(8))}", "s") for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, body string, source string")
+    by_line = repeated_lines.repeated_lines(df, "id", "body", "source", part_lines=part_lines)
+    assert by_line.count() == 0
+    found = repeated_lines.repeated_lines(df, "id", "body", "source", slots=True, part_lines=part_lines)
+    got = found.collect()
+    assert {(x["id"], x["line_no"]) for x in got} == {(f"c{i:03d}", 1) for i in range(120)}
+    assert {(x["template"], x["covers"], x["texts"]) for x in got} == {("compartilhe esta página com * e receba novidades", 120, 1)}
+    clean = repeated_lines.without_lines(df, "id", "body", found).collect()
+    assert len(clean) == 120 and all("Compartilhe" not in x["body"] and len(x["body"].split()) == 8 for x in clean)
+
+
 # leaks
 
 
