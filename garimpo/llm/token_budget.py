@@ -10,7 +10,7 @@ A text's counts are the sums over its pieces.
 
 The merge table is bounded by the vocabulary (some 250,000 pairs for 50,000 symbols)
 and is the only thing that is broadcast.  Pieces recur, so a worker remembers those it has
-met.  Texts are never shuffled: each row is counted where it is read, repeated deliveries
+met.  Texts aren't shuffled (but for an input of fewer partitions than cores, which is spread): each row is counted where it is read, repeated deliveries
 are put together by their counts, and totals leave each partition already summed.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garimpo.llm.splitting import LETTER, OTHER, char_classes, code_points, token_starts
+from garimpo.plans.tables import spread
 
 #: Fixed value: the pre-split pattern of the public byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -229,7 +230,7 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     table = df.sparkSession.sparkContext.broadcast(merge_table(vocabulary))
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     ddl = ", ".join(["key string, tokens long, bpe_tokens long", *(f"k{i} {rows.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))])
-    counted = rows.mapInArrow(count(table, vocabulary), ddl)
+    counted = spread(rows).mapInArrow(count(table, vocabulary), ddl)
     each = counted.groupBy("key").agg(*(F.max(c).alias(c) for c in counted.columns if c != "key"))
     return each.select(F.col("key").alias(key), "tokens", "bpe_tokens", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 
