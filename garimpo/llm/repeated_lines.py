@@ -7,7 +7,8 @@ partial and a final aggregate merges the trees of all partitions; a leaf holds a
 as many texts as any of its lines.  The leaves that cover enough texts are opened: their
 distinct lines are clustered into templates with wildcard slots, and a template is found
 if the texts that hold any of its lines, each counted once, are enough.  With ``slots``
-that decides; without, a line has to be in enough texts by itself as well.
+that decides; without, a line has to be in enough texts by itself as well, and only lines
+of found templates are counted for that: a template covers at least what each line does.
 
 A source that holds a third of all texts is no hot key: counts are aggregated per
 partition first, and exact counts are by (source, line, text) before (source, line).  A
@@ -96,6 +97,12 @@ def formed(by_line: DataFrame, alike: float, part_lines: int) -> DataFrame:
     return first.withColumnRenamed("template", "draft").join(final, [*leaf, "draft"]).select(*leaf, "line", "template")
 
 
+def opened(held: DataFrame, parsed: DataFrame, covers: DataFrame) -> DataFrame:
+    """The lines, text by text, of the templates that cover enough; all that follows sees no others."""
+    kept = cut(parsed.join(small(covers), ["source", "leaf", "template"]))
+    return held.join(small(kept), ["source", "leaf", "line"])
+
+
 def repeated_lines(
     df: DataFrame, key: str, text: str, source: str, share: float = 0.03, least: int = 4, shortest: int = 15, depth: int = 4, alike: float = 0.7, slots: bool = False, part_lines: int = 4000,
 ) -> DataFrame:
@@ -114,16 +121,18 @@ def repeated_lines(
     leaves = lines.groupBy("source", "leaf").agg(F.count(F.lit(1)).alias("n")).join(small(sizes), "source").where(F.col("n") >= F.col("need") - 1e-9)
     leaves = cut(leaves.select("source", "leaf"))
     held = cut(lines.join(small(leaves), ["source", "leaf"]))
-    by_line = cut(held.groupBy("source", "leaf", "line").agg(F.count_distinct("key").alias("texts")))
-    parsed = cut(formed(by_line, alike, part_lines))
+    # occurrences order the lines for the templates; texts are counted only for lines of templates that cover enough
+    seen = cut(held.groupBy("source", "leaf", "line").agg(F.count(F.lit(1)).alias("texts")))
+    parsed = cut(formed(seen, alike, part_lines))
     named = ["source", "leaf", "template"]
     # a template's texts, each once, however many of its lines it holds
     covers = held.join(small(parsed), ["source", "leaf", "line"]).groupBy(*named).agg(F.count_distinct("key").alias("covers")).join(small(sizes), "source")
     covers = cut(covers.where(F.col("covers") >= F.col("need") - 1e-9))
-    kept = parsed.join(small(covers), named).join(by_line, ["source", "leaf", "line"])
+    found = cut(opened(held, parsed, covers))
+    kept = found.groupBy("source", "leaf", "line", "template", "covers", "need").agg(F.count_distinct("key").alias("texts"))
     if not slots:
         kept = kept.where(F.col("texts") >= F.col("need") - 1e-9)
-    return held.join(small(cut(kept.select("source", "leaf", "line", "template", "texts", "covers"))), ["source", "leaf", "line"]).select(
+    return found.select("source", "leaf", "line", "key", "line_no").join(small(cut(kept.select("source", "leaf", "line", "template", "texts", "covers"))), ["source", "leaf", "line"]).select(
         "source", F.col("key").alias(key), "line_no", "line", "template", "texts", "covers"
     ).distinct()
 

@@ -194,6 +194,21 @@ def test_templates_with_word_slots(spark, part_lines):
     assert len(clean) == 120 and all("Compartilhe" not in x["body"] and len(x["body"].split()) == 8 for x in clean)
 
 
+def test_only_lines_of_found_templates_are_counted(spark, monkeypatch):
+    """Leaves with enough lines whose templates cover too few texts go no further, with slots or without."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    rows = [(f"c{i:03d}", f"Aviso legal da fonte para todos\num dois três quatro {' '.join(word() for _ in range(9))}", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, body string, source string")
+    seen = []
+    real = repeated_lines.opened
+    monkeypatch.setattr(repeated_lines, "opened", lambda held, *rest: seen.append((held.select("line").distinct().count(), (out := real(held, *rest)).select("line").distinct().count())) or out)
+    for slots in (False, True):
+        got = repeated_lines.repeated_lines(df, "id", "body", "source", slots=slots)
+        assert {(x["id"], x["line_no"]) for x in got.collect()} == {(f"c{i:03d}", 1) for i in range(40)}
+    assert seen == [(41, 1)] * 2
+
+
 # leaks
 
 
